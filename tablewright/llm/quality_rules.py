@@ -198,7 +198,7 @@ def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: floa
     rows = rows.where(~_base_failed(F.col("_facts.words"), F.col("_facts.repeat"), min_words))
     lost = lost.select(*(F.col(x).alias(f"_lost_{x}") for x in lost.columns))
     same = (F.col("_host") == F.col("_lost_host")) & (F.col("_facts.k1") == F.col("_lost_k1")) & (F.col("_facts.k2") == F.col("_lost_k2"))
-    rows = rows.join(lost, same, "left")
+    rows = rows.join(lost.hint("merge"), same, "left")  # it grows with the corpus: no candidate for a broadcast
     rows = rows.where(~_depleted(F.col("_facts.words"), F.coalesce("_lost_lost_words", F.lit(0)), min_words, min_left))
     clean = F.arrow_udf(_without_lines, "string")(F.col("text"), F.col("_lost_gone"))
     rows = rows.withColumn("text", F.when(F.col("_lost_gone").isNull(), F.col("text")).otherwise(clean))
