@@ -7,7 +7,8 @@ positions are merged and removed. Documents of fewer than three such lines have
 
 Scale. Lines travel as hashes. Places of a window are summed before the shuffle; the join that finds later places
 meets a stored table of repeated windows, so a window that a third of all documents hold is split. Only positions
-travel back to the texts, and only documents that lose lines are rebuilt.
+travel back to the texts, and only documents that lose lines are rebuilt. Both joins are sort-merge joins at every
+size: the tables that they meet grow with the corpus and are no candidates for a broadcast.
 
 Cases. Null text stays null and loses nothing. Repeated rows (same doc_id and text) are one place, so they do not
 remove each other's lines; all rows are returned. Null doc_ids come before all others. An empty table gives an empty
@@ -54,7 +55,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id"), F.col("at")[0].alias("line"), F.col("k1"), F.col("k2"))
     groups = places.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialize(groups.where("first <> last").select("w1", "w2", "first"), "lines-repeated")
-    later = places.join(repeated, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
+    later = places.join(repeated.hint("merge"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("covered"))
     return materialize(gone, "lines-covered")
 
@@ -66,7 +67,7 @@ def _with_covered(docs: DataFrame) -> DataFrame:
     k1, k2 = text_key(F.col("text"))
     rows = docs.withColumns({"_t1": k1, "_t2": k2})
     same = (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
-    return rows.join(gone, same, "left")
+    return rows.join(gone.hint("merge"), same, "left")
 
 
 def _left(text: Column, covered: Column) -> Column:
