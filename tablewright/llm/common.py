@@ -5,10 +5,14 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: ASCII blanks; words of the quality and near-duplicate operators are runs of anything else.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
@@ -46,6 +50,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_cached: dict = {}
+
+
+def worker_cache(key: object = None, make: Callable[[], T] | None = None) -> T | None:
+    """What a Python worker keeps between tasks, one thing at a time: asking for another frees the last."""
+    if key not in _cached:
+        _cached.clear()
+        if make is not None:
+            _cached[key] = make()
+    return _cached.get(key)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)

@@ -19,20 +19,28 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import materialize
+from tablewright.llm.common import materialize, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
 BUCKETS = 256
-#: Words whose ids a Python worker keeps; at about 150 bytes each.
+#: Parts of texts whose ids a Python worker keeps, and again as many from before; at about 180 bytes each.
 KEPT_WORDS = 500_000
+#: Texts that are taken together.
+SLICE = 200
+#: Marks that often end a word; none starts a contraction.
+ENDS = ".,;:!?"
+#: The cut mark, and white space other than single blanks and line breaks between two other characters.
+ODD_BLANKS = ["\0", "  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
 
 def default_tokenizer() -> str:
@@ -44,43 +52,61 @@ def default_tokenizer() -> str:
 class TokenIds:
     """Little-endian ids of texts by a byte-level BPE file of `tokenizers`.
 
-    Such a tokenizer splits a text by a pattern and merges inside each part alone, so ids of parts are kept and
-    joined. Texts that hold a special token's string take the tokenizer's own way.
+    Such a tokenizer cuts a text before every single blank between two other characters and on both sides of
+    every single line break between two others, and merges inside each part alone. So a text that has no other
+    white space is cut there, and ids of its parts are kept and joined; any other text, and one that holds a
+    special token's string, takes the tokenizer's own way.
     """
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = [*ODD_BLANKS, *(x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
+        size = self.tokenizer.get_vocab_size()
+        self.blank_first = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        #: Ids of parts met since the last turn, and in the turn before it.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return self._plain([text])[0]
-        parts = self.parts(text)
-        if new := list(set(parts).difference(self.known)):
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known, new = {}, list(set(parts))
-            self.known.update(zip(new, self._plain(new)))
-        return b"".join(map(self.known.__getitem__, parts))
-
-
-_held: dict[str, TokenIds] = {}
-
-
-def _ids_by(path: str) -> TokenIds:
-    """One for each worker process."""
-    if path not in _held:
-        _held[path] = TokenIds(path)
-    return _held[path]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that start with their only blank: read as one text, cut where a token starts with a blank."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(self.blank_first[ids])).tolist() + [4 * len(ids)]
+        if len(at) != len(parts) + 1:
+            return self._plain(parts)
+        ids = ids.tobytes()
+        return [ids[i:j] for i, j in zip(at, at[1:])]
+
+    def _learn(self, parts: set[str]) -> None:
+        """Letters and a mark behind them are parts of their own to the tokenizer, so ids of the letters serve both."""
+        ended = {x: x[:-1] for x in parts if x[-1] in ENDS and x[1:-1].isalpha()}
+        words, others = [], []
+        for part in parts.difference(ended).union({*ended.values(), *ENDS}.difference(self.known)):
+            if (ids := self.older.get(part)) is not None:
+                self.known[part] = ids
+            else:
+                (words if part[0] == " " else others).append(part)
+        self.known.update(zip(words, self._words(words)))
+        self.known.update(zip(others, self._plain(others)))
+        self.known.update({x: self.known[stem] + self.known[x[-1]] for x, stem in ended.items()})
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            odd = not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.uncut)
+            cut.append(None if odd else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
+        met = set().union(*(parts for parts in cut if parts))
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known, self.older, new = {}, self.known, met
+        self._learn(new)
+        ids_of = self.known.__getitem__
+        return [self._plain([t])[0] if parts is None else b"".join(map(ids_of, parts)) for t, parts in zip(texts, cut)]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -98,11 +124,13 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ids_by(path)
+        ids_of = worker_cache(("ids", path), lambda: TokenIds(path))
         for batch in rows:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = ids_of(text) + end
+            texts = batch.column("text").to_pylist()
+            found = chain.from_iterable(ids_of.many(texts[i : i + SLICE]) for i in range(0, len(texts), SLICE))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     out.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -17,6 +17,7 @@ empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import worker_cache
+
 FOLDS = 5
 THRESHOLD = 0.3
 BUCKETS = 1 << 17
@@ -34,7 +37,7 @@ GRAMS = (3, 4)
 SAMPLE = 2000
 EPOCHS = 15
 RATE = 2.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Bucket of a word followed by itself.
 SAME = zlib.crc32(b"<same>") % BUCKETS
 
@@ -165,11 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def _scorer(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast((model.table, model.bias))
-    held: dict[str, Words] = {}
+    name = uuid.uuid4().hex
 
     def scores(texts: pa.Array) -> pa.Array:
         table, bias = shared.value
-        by = held.setdefault("words", Words(table))
+        by = worker_cache(("words", name), lambda: Words(table))
         return pa.array(by.scores(texts.cast(pa.binary()).to_pylist(), bias), pa.float64())
 
     return scores
@@ -177,12 +180,7 @@ def _scorer(spark: SparkSession, model: Model):
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """Score of a whole text, from the text alone."""
-    scores = _scorer(spark, model)
-
-    def column(texts: pa.Array) -> pa.Array:
-        return scores(texts)
-
-    return F.arrow_udf(column, "double")(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(_scorer(spark, model), "double").asNondeterministic()(F.coalesce(text, F.lit("")))  # evaluated once
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

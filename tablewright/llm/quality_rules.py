@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANKS, materialize, with_length
+from tablewright.llm.common import BLANKS, materialize, with_length, worker_cache
 
 MIN_WORDS = 50
 MIN_DOCS = 20
@@ -92,6 +92,7 @@ _MEASURED_DDL = (
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache()
     for batch in batches:
         texts = batch.column("text")
         chars = pc.utf8_length(texts).to_pylist()
@@ -193,7 +194,7 @@ def _without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
 def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without the lines over the limit; the columns of `docs` stay."""
     lost = lines_lost(measured(docs))
-    facts = F.arrow_udf(_row_facts, "struct<k1: bigint, k2: bigint, words: bigint, repeat: bigint>")
+    facts = F.arrow_udf(_row_facts, "struct<k1: bigint, k2: bigint, words: bigint, repeat: bigint>").asNondeterministic()  # evaluated once
     rows = docs.withColumns({"_host": _host(), "_facts": facts(F.coalesce("text", F.lit("")))})
     rows = rows.where(~_base_failed(F.col("_facts.words"), F.col("_facts.repeat"), min_words))
     lost = lost.select(*(F.col(x).alias(f"_lost_{x}") for x in lost.columns))
