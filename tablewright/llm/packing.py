@@ -64,8 +64,9 @@ class TokenIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.uncut = [*ODD_BLANKS, *(x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
-        size = self.tokenizer.get_vocab_size()
-        self.blank_first = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.merge = self.tokenizer.model.tokenize
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that a byte-level vocabulary shows as themselves
+        self.shown = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - plain))}
         #: Ids of parts met since the last turn, and in the turn before it.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -73,25 +74,22 @@ class TokenIds:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that start with their only blank: read as one text, cut where a token starts with a blank."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        at = (4 * np.flatnonzero(self.blank_first[ids])).tolist() + [4 * len(ids)]
-        if len(at) != len(parts) + 1:
-            return self._plain(parts)
-        ids = ids.tobytes()
-        return [ids[i:j] for i, j in zip(at, at[1:])]
+    def _word(self, word: str) -> bytes:
+        """Ids of letters after one blank at most: one part to the tokenizer, so its model reads them directly."""
+        shown = "\u0120" + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [x.id for x in self.merge(shown)]).tobytes()
 
     def _learn(self, parts: set[str]) -> None:
         """Letters and a mark behind them are parts of their own to the tokenizer, so ids of the letters serve both."""
         ended = {x: x[:-1] for x in parts if x[-1] in ENDS and x[1:-1].isalpha()}
-        words, others = [], []
+        others = []
         for part in parts.difference(ended).union({*ended.values(), *ENDS}.difference(self.known)):
             if (ids := self.older.get(part)) is not None:
                 self.known[part] = ids
+            elif (part[1:] if part[0] == " " else part).isalpha():
+                self.known[part] = self._word(part)
             else:
-                (words if part[0] == " " else others).append(part)
-        self.known.update(zip(words, self._words(words)))
+                others.append(part)
         self.known.update(zip(others, self._plain(others)))
         self.known.update({x: self.known[stem] + self.known[x[-1]] for x, stem in ended.items()})
 
