@@ -1,2 +1,8 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All queries over the driver's tables, each beside its SQL. Modules register theirs with `query`."""
+
+from __future__ import annotations
+
+from tablewright.plans import records, scalars, texts
+from tablewright.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "records", "scalars", "texts"]
