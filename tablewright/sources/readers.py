@@ -40,13 +40,11 @@ def csv_records(spark: SparkSession, path: str, schema: str, header: bool = True
     )
 
 
-def csv_with_rejects(spark: SparkSession, path: str, schema: str, header: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good records, and the raw text of the others."""
-    full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    rows = spark.read.csv(
-        path, schema=full, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt",
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-    )
+def csv_with_rejects(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Good records of a file without a header, and the raw text of the others."""
+    full = f"{schema}, _corrupt STRING"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    rows = text_lines(spark, path).where("value <> ''").select(F.from_csv("value", full, options).alias("r")).select("r.*")
     return rows.where("_corrupt IS NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select("_corrupt")
 
 
