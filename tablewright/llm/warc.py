@@ -88,8 +88,11 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[Dat
     )
     headers = narrow.join(keepers, "digest").select("page_id", "digest", header.cast("binary").alias("header"))
     packed = pages.select(page_id, payload.alias("payload")).mapInArrow(_pack_batches, "digest BINARY, page_id BIGINT, frame BINARY")
-    same = (packed["digest"] == keepers["digest"]) & packed["page_id"].eqNullSafe(keepers["keep"])
-    payloads = packed.join(keepers, same, "left_semi").dropDuplicates(["digest", "page_id"]).select("digest", "frame")
+    # plain keys for join and dedup alike, so that payload bytes are shuffled once
+    page = lambda col: F.coalesce(F.col(col), F.lit(-(1 << 63))).alias("_page")
+    kept = keepers.select("digest", page("keep")).hint("merge")
+    payloads = packed.select("digest", page("page_id"), "frame").join(kept, ["digest", "_page"], "left_semi")
+    payloads = payloads.groupBy("digest", "_page").agg(F.first("frame").alias("frame")).select("digest", "frame")
     return materialize(headers, "warc-headers"), materialize(payloads, "warc-payloads")
 
 
