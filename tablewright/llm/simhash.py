@@ -134,11 +134,16 @@ def _keys_of(probe: bool):
     return batches
 
 
+def _spread(nodes: DataFrame) -> DataFrame:
+    """A row here becomes dozens: as many tasks as a shuffle has, though the stored table is small."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def close_stars(nodes: DataFrame) -> DataFrame:
     """Edges that connect whatever lies at distance 2 or less: 65 words a node, each word's nodes to its least."""
     word = F.explode(F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(
         F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
-    named = nodes.select(word.alias("word"), "fp")
+    named = _spread(nodes).select(word.alias("word"), "fp")
     met = named.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
     met = materialize(met, "simhash-met")
     return named.join(met, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
@@ -153,7 +158,7 @@ def group_fingerprints(nodes: DataFrame) -> DataFrame:
     )
     schema = "key BIGINT, fp BIGINT, group BIGINT"
     index = grouped.mapInArrow(_keys_of(False), schema)
-    probe = grouped.mapInArrow(_keys_of(True), schema).toDF("key", "fp2", "group2")
+    probe = _spread(grouped).mapInArrow(_keys_of(True), schema).toDF("key", "fp2", "group2")
     linked = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("group") < F.col("group2")) & linked)
     links = materialize(met.select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct(), "simhash-links")
