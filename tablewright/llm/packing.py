@@ -34,7 +34,7 @@ CAPACITY = 1024
 END_ID = 2
 BUCKETS = 256
 #: Parts of texts whose ids a Python worker keeps, and again as many from before; at about 180 bytes each.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 750_000
 #: Texts that are taken together.
 SLICE = 200
 #: Marks that often end a word; none starts a contraction.
