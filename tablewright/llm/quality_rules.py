@@ -4,7 +4,7 @@ Method. Lines are normalised (A-Z lower-cased, blanks collapsed) and hashed. For
 distinct documents that hold a line are counted; exact copies of a text count as one document, so that
 copying alone makes no boilerplate. A line is over the limit if more than max(min_docs, max_share * distinct
 documents of the host) documents hold it. Such lines are removed; a document is rejected as depleted if it
-lost lines and what is left has under `min_words` words or under `min_left` of its words.
+lost lines and under `min_left` of its words are left.
 
 Cases. Null text counts as empty: no words, so the base rules reject it. Null source is a host of its own.
 Repeated rows (same host and text) form one class and share its verdict; every input row is returned. An empty
@@ -148,9 +148,8 @@ def _base_failed(n_words: Column, n_repeat: Column, min_words: int) -> Column:
     return (n_words < min_words) | (100 * n_repeat > 50 * n_words)
 
 
-def _depleted(n_words: Column, lost_words: Column, min_words: int, min_left: float) -> Column:
-    left = n_words - lost_words
-    return (lost_words > 0) & ((left < min_words) | (left < n_words * min_left))
+def _depleted(n_words: Column, lost_words: Column, min_left: float) -> Column:
+    return n_words - lost_words < n_words * min_left
 
 
 def quality_rules(
@@ -168,7 +167,7 @@ def quality_rules(
     return rows.drop("lines").join(lost, ["host", "k1", "k2"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & ~_depleted(F.col("n_words"), lost_words, min_words, min_left)).alias("kept"),
+        (~failed & ~_depleted(F.col("n_words"), lost_words, min_left)).alias("kept"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("frequent_lines"),
         lost_words.cast("long").alias("frequent_words"),
     )
@@ -200,7 +199,7 @@ def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: floa
     lost = lost.select(*(F.col(x).alias(f"_lost_{x}") for x in lost.columns))
     same = (F.col("_host") == F.col("_lost_host")) & (F.col("_facts.k1") == F.col("_lost_k1")) & (F.col("_facts.k2") == F.col("_lost_k2"))
     rows = rows.join(lost.hint("merge"), same, "left")  # it grows with the corpus: no candidate for a broadcast
-    rows = rows.where(~_depleted(F.col("_facts.words"), F.coalesce("_lost_lost_words", F.lit(0)), min_words, min_left))
+    rows = rows.where(~_depleted(F.col("_facts.words"), F.coalesce("_lost_lost_words", F.lit(0)), min_left))
     clean = F.arrow_udf(_without_lines, "string")(F.col("text"), F.col("_lost_gone"))
     rows = rows.withColumn("text", F.when(F.col("_lost_gone").isNull(), F.col("text")).otherwise(clean))
     return with_length(rows, docs)

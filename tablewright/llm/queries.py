@@ -109,7 +109,7 @@ WITH d AS (
   FROM m LEFT JOIN rep USING (r) LEFT JOIN lost USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (words_left < n_words AND (words_left < {quality_rules.MIN_WORDS} OR words_left < n_words * {quality_rules.MIN_LEFT}::DOUBLE)) AS kept,
+  NOT base_failed AND words_left >= n_words * {quality_rules.MIN_LEFT}::DOUBLE AS kept,
   coalesce(frequent_lines, 0)::BIGINT AS frequent_lines, coalesce(frequent_words, 0)::BIGINT AS frequent_words
 FROM v
 """,

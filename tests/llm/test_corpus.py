@@ -98,7 +98,7 @@ def quality_brute(rows, min_docs, share):
         lost = sum(x.count(" ") + 1 for x in gone)
         failed = len(words) < 50 or 100 * repeat > 50 * len(words)
         left = len(words) - lost
-        kept = not failed and not (lost and (left < 50 or left < len(words) * 0.5))
+        kept = not failed and left >= len(words) * 0.5
         out.append((doc, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeat, failed, kept, len(set(gone)), lost))
     return out
 
@@ -125,7 +125,8 @@ def test_quality_filter_acts_as_the_rules_say(odd, empty):
 def test_quality_removes_frequent_lines(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "Shared  footer LINE\n" + " ".join(map(str, rng.integers(0, 10**6, 80))), "en", "h", 1) for i in range(60)]
-    rows += [(100 + i, f"shared footer line\n{i} tiny " + "w " * 3, "en", "h", 1) for i in range(3)]
+    notice = " ".join(f"notice{j}" for j in range(60))
+    rows += [(100 + i, f"{notice}\n{i} tiny " + " ".join(map(str, rng.integers(0, 10**6, 20))), "en", "h", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
     got = {r.doc_id: r.text for r in quality_rules.filter_documents(df).collect()}
     assert set(got) == set(range(60)) and all("footer" not in t.lower() for t in got.values())
