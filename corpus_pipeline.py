@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.llm import line_dedup, packing, quality_classifier, quality_rules, simhash
 from tablewright.llm.common import materialize, read_table
 
+#: Words whose ids a worker keeps: fewer than alone, as executors still hold what earlier stages have left.
+KEPT_WORDS = 250_000
+
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without lines that too many documents of their host share."""
@@ -30,7 +33,7 @@ def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, kept_words=KEPT_WORDS)
 
 
 STAGES = [

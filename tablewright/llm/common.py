@@ -5,9 +5,10 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,12 @@ def worker_cache(key: object = None, make: Callable[[], T] | None = None) -> T |
     return _cached.get(key)
 
 
+def each_text(column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    """The texts of an Arrow column as bytes; only a slice of the batch is held as Python objects."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).cast(pa.binary()).to_pylist()
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)

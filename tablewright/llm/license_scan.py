@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import each_text
+
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -200,7 +202,7 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _DDL.split(", ")]
         for batch in rows:
-            found = [scan(x, templates) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [scan(x, templates) for x in each_text(batch.column("text"))]
             out = [batch.column("doc_id")] + [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds[1:])]
             yield pa.RecordBatch.from_arrays(out, names)
 

@@ -33,7 +33,7 @@ from tablewright.llm.common import materialize, worker_cache
 CAPACITY = 1024
 END_ID = 2
 BUCKETS = 256
-#: Parts of texts whose ids a Python worker keeps, and again as many from before; at about 180 bytes each.
+#: Parts of texts whose ids a Python worker keeps, and again as many from before; at about 160 bytes each.
 KEPT_WORDS = 750_000
 #: Texts that are taken together.
 SLICE = 200
@@ -58,10 +58,11 @@ class TokenIds:
     special token's string, takes the tokenizer's own way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.kept_words = kept_words
         self.tokenizer = Tokenizer.from_file(path)
         self.uncut = [*ODD_BLANKS, *(x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
         self.merge = self.tokenizer.model.tokenize
@@ -100,7 +101,7 @@ class TokenIds:
             cut.append(None if odd else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
         met = set().union(*(parts for parts in cut if parts))
         new = met.difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
+        if len(self.known) + len(new) > self.kept_words:
             self.known, self.older, new = {}, self.known, met
         self._learn(new)
         ids_of = self.known.__getitem__
@@ -116,17 +117,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 _PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Narrow rows, one for each piece; one pass without a shuffle."""
     path = tokenizer or default_tokenizer()
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = worker_cache(("ids", path), lambda: TokenIds(path))
+        ids_of = worker_cache(("ids", path, kept_words), lambda: TokenIds(path, kept_words))
         for batch in rows:
             out: list[tuple] = []
-            texts = batch.column("text").to_pylist()
-            found = chain.from_iterable(ids_of.many(texts[i : i + SLICE]) for i in range(0, len(texts), SLICE))
+            texts = batch.column("text")
+            found = chain.from_iterable(ids_of.many(texts.slice(i, SLICE).to_pylist()) for i in range(0, len(texts), SLICE))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found):
                 ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
@@ -226,6 +227,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of each document, with its sequence and its place there."""
-    return pack(materialize(token_pieces(docs, tokenizer, capacity), "pack-pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """One row for each piece of each document, with its sequence and its place there.
+
+    `kept_words` trades workers' memory for time; results do not depend on it.
+    """
+    return pack(materialize(token_pieces(docs, tokenizer, capacity, kept_words), "pack-pieces"), capacity)

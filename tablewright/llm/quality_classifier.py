@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import worker_cache
+from tablewright.llm.common import each_text, worker_cache
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -37,7 +38,7 @@ GRAMS = (3, 4)
 SAMPLE = 2000
 EPOCHS = 15
 RATE = 2.0
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: Bucket of a word followed by itself.
 SAME = zlib.crc32(b"<same>") % BUCKETS
 
@@ -69,9 +70,10 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hashes, self.buckets, self.sums, self.sizes = [], [], [], []
+        self.hashes, self.sums, self.sizes = array("I"), array("d"), array("I")
+        self.buckets: list[list[int]] = []
 
-    def numbers(self, words: list[bytes]) -> list[int]:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         new = set(words).difference(self.number)
         if len(self.number) + len(new) > KEPT_WORDS:
             self.clear()
@@ -84,25 +86,25 @@ class Words:
             if self.table is None:
                 self.buckets.append(found)
             else:
-                self.sums.append(float(self.table[found].sum()))
-        return [self.number[w] for w in words]
+                self.sums.append(float(self.table[found].sum(dtype=np.float64)))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def features(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets of a text and how often each occurs."""
         own = self.numbers(text.split())
-        found = np.array([b for i in own for b in self.buckets[i]], np.int64)
-        both = np.concatenate([found, bigram_buckets(np.array([self.hashes[i] for i in own], np.uint64))])
+        found = np.array([b for i in own.tolist() for b in self.buckets[i]], np.int64)
+        both = np.concatenate([found, bigram_buckets(np.array(self.hashes)[own])])
         return np.unique(both, return_counts=True)
 
-    def scores(self, texts: list[bytes], bias: float) -> list[float]:
+    def scores(self, texts: Iterable[bytes], bias: float) -> list[float]:
         out = []
         for text in texts:
             own = self.numbers(text.split())
             total, size = 0.0, 0
-            if own:
-                pairs = bigram_buckets(np.array([self.hashes[i] for i in own], np.uint64))
-                total = sum(self.sums[i] for i in own) + float(self.table[pairs].sum())
-                size = sum(self.sizes[i] for i in own) + len(pairs)
+            if len(own):
+                pairs = bigram_buckets(np.frombuffer(self.hashes, np.uint32)[own])
+                total = float(np.frombuffer(self.sums)[own].sum() + self.table[pairs].sum(dtype=np.float64))
+                size = int(np.frombuffer(self.sizes, np.uint32)[own].sum()) + len(pairs)
             out.append(1 / (1 + np.exp(-np.clip(bias + total / max(1, size), -60, 60))))
         return out
 
@@ -173,7 +175,7 @@ def _scorer(spark: SparkSession, model: Model):
     def scores(texts: pa.Array) -> pa.Array:
         table, bias = shared.value
         by = worker_cache(("words", name), lambda: Words(table))
-        return pa.array(by.scores(texts.cast(pa.binary()).to_pylist(), bias), pa.float64())
+        return pa.array(by.scores(each_text(texts), bias), pa.float64())
 
     return scores
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANKS, materialize, with_length, worker_cache
+from tablewright.llm.common import BLANKS, each_text, materialize, with_length, worker_cache
 
 MIN_WORDS = 50
 MIN_DOCS = 20
@@ -97,7 +97,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         texts = batch.column("text")
         chars = pc.utf8_length(texts).to_pylist()
         keys, rows = [], []
-        for text, n_chars in zip(texts.cast(pa.binary()).to_pylist(), chars):
+        for text, n_chars in zip(each_text(texts), chars):
             n_words, blanks, *rest, hashes, words = measure(text)
             keys.append(text_bits(text))
             rows.append((n_words, n_chars - blanks, *rest, [{"line": h, "words": w} for h, w in zip(hashes, words)]))
@@ -175,7 +175,7 @@ def quality_rules(
 
 def _row_facts(texts: pa.Array) -> pa.Array:
     rows = []
-    for text in texts.cast(pa.binary()).to_pylist():
+    for text in each_text(texts):
         words = text.split()
         rows.append((*text_bits(text), len(words), repeated_words(words)))
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["k1", "k2", "words", "repeat"])
@@ -183,7 +183,7 @@ def _row_facts(texts: pa.Array) -> pa.Array:
 
 def _without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     out = []
-    for text, hashes in zip(texts.cast(pa.binary()).to_pylist(), gone.to_pylist()):
+    for text, hashes in zip(each_text(texts), gone.to_pylist()):
         drop = set(hashes or ())
         lines = text.split(b"\n") if drop else [text]
         out.append(b"\n".join(x for x in lines if not drop or line_hash(normal_line(x)) not in drop).decode())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import materialize, with_length, worker_cache
+from tablewright.llm.common import each_text, materialize, with_length, worker_cache
 from tablewright.llm.components import connected_components
 
 WORDS = 3
@@ -114,7 +114,7 @@ def golay_keys(fps: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_cache()
     for batch in batches:
-        fps = [fingerprint(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        fps = [fingerprint(x) for x in each_text(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
 
