@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import materialize
+from tablewright.llm.common import materialize, text_key
 
 PREFIX = 256
 
@@ -73,7 +73,8 @@ def equal_texts(docs: DataFrame, digest_all: bool = True) -> tuple[DataFrame, Da
         ids = rest.join(prefixes, ["size", "prefix"], "left_semi").select(F.col("doc_id").alias("_id")).distinct()
         texts = _texts(docs)
         read = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-        rest = read.select("doc_id", F.arrow_udf(_full_digest, "binary")("text").alias("sha"))
+        k1, k2 = text_key(F.col("text"))
+        rest = read.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.arrow_udf(_full_digest, "binary")("text").alias("sha"))
         rows = materialize(rest, "exact-survivors")
         rest = rows
     groups = rest.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
@@ -94,5 +95,7 @@ def drop_duplicate_texts(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that another row stays for; only rows that share length and prefix are read in full."""
     rows, groups = equal_texts(docs, digest_all=False)
     lost = rows.join(groups, "sha").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).where("keep_id IS NOT NULL")
-    lost = lost.select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["_lost"]), "left_anti")
+    lost = lost.select(F.col("doc_id").alias("_lost"), F.col("k1").alias("_lost_k1"), F.col("k2").alias("_lost_k2")).distinct()
+    k1, k2 = text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))  # a doc_id may stand for several texts
+    same = (k1 == F.col("_lost_k1")) & (k2 == F.col("_lost_k2")) & docs["doc_id"].cast("long").eqNullSafe(lost["_lost"])
+    return docs.join(lost, same, "left_anti")

@@ -27,10 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import each_text, materialize, with_length, worker_cache
+from tablewright.llm.common import each_text, materialize, text_key, with_length, worker_cache
 from tablewright.llm.components import connected_components
 
 WORDS = 3
@@ -115,12 +115,18 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     worker_cache()
     for batch in batches:
         fps = [fingerprint(x) for x in each_text(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        narrow = batch.drop_columns(["text"])
+        yield narrow.append_column("fp", pa.array(np.array(fps, np.uint64).view(np.int64)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_print_batches, "doc_id BIGINT, fp BIGINT")
+def fingerprints(docs: DataFrame, **keys: Column) -> DataFrame:
+    """doc_id, the BIGINT columns `keys`, and fp."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *(v.alias(k) for k, v in keys.items()),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    return rows.mapInArrow(_print_batches, ", ".join(f"{x} BIGINT" for x in ("doc_id", *keys, "fp")))
 
 
 def _keys_of(probe: bool):
@@ -166,21 +172,37 @@ def group_fingerprints(nodes: DataFrame) -> DataFrame:
     return materialize(connected_components(inner.unionByName(links)), "simhash-components")
 
 
+def _name_groups(rows: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, group) of the stored table `rows`: `least` over the rows of each fingerprint, and its group."""
+    nodes = materialize(rows.groupBy("fp").agg(least.alias("least")), "simhash-nodes")
+    groups = group_fingerprints(nodes.select("fp"))
+    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    return materialize(named, "simhash-named")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: its fingerprint and the smallest doc_id that links reach."""
     rows = materialize(fingerprints(docs), "simhash-fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    groups = group_fingerprints(nodes.select("fp"))
-    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    named = materialize(named, "simhash-named")
+    named = _name_groups(rows, F.min("doc_id"))
     first = named.groupBy("group").agg(F.min("least").alias("component_id"))
     ids = materialize(named.join(first, "group").select("fp", "component_id"), "simhash-ids")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id; of rows that repeat it, one."""
-    found = near_duplicates(docs)
-    keep = materialize(found.select("component_id").distinct().withColumnRenamed("component_id", "_keep"), "simhash-keep")
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
-    return with_length(kept.dropDuplicates(["doc_id"]), docs)
+    """One document of each group: that with the smallest doc_id, a null one only if there is no other.
+
+    A row is known by doc_id and text: texts that share a doc_id stay or go each with its own group, and of rows
+    that repeat both, one stays.
+    """
+    k1, k2 = text_key(F.col("text").cast("string"))
+    rows = materialize(fingerprints(docs, k1=k1, k2=k2), "simhash-fingerprints")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    named = _name_groups(rows, F.min(least))
+    # plain keys for join and dedup alike, so that texts are shuffled once
+    plain = lambda col: F.coalesce(col, F.lit(-(1 << 63)))
+    keep = named.groupBy("group").agg(F.min("least").alias("least"))
+    keep = keep.select(plain(F.col("least.doc_id")).alias("_near_id"), F.col("least.k1").alias("_near_k1"), F.col("least.k2").alias("_near_k2"))
+    keyed = docs.withColumns({"_near_id": plain(F.col("doc_id").cast("long")), "_near_k1": k1, "_near_k2": k2})
+    kept = keyed.join(materialize(keep, "simhash-keep").hint("merge"), keep.columns, "left_semi")
+    return with_length(kept.dropDuplicates(keep.columns), docs)

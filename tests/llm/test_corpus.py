@@ -309,7 +309,8 @@ def print_of(text):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
 
 
-def near_brute(rows, radius=3):
+def near_groups(rows, radius=3):
+    """(doc_id, fingerprint, number of the group) of each row."""
     prints = [print_of(t) for _, t in rows]
     bits, group = np.array(prints, np.uint64), list(range(len(rows)))
 
@@ -322,11 +323,15 @@ def near_brute(rows, radius=3):
     for i in range(len(rows)):
         for j in np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= radius) + i + 1:
             group[root(int(j))] = root(i)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
+    return [(doc, f"{prints[i]:016x}", root(i)) for i, (doc, _) in enumerate(rows)]
+
+
+def near_brute(rows):
+    found, least = near_groups(rows), {}
+    for doc, _, group in found:
         if doc is not None:
-            least[root(i)] = min(doc, least.get(root(i), doc))
-    return [(doc, f"{prints[i]:016x}", least.get(root(i))) for i, (doc, _) in enumerate(rows)]
+            least[group] = min(doc, least.get(group, doc))
+    return [(doc, fp, least.get(group)) for doc, fp, group in found]
 
 
 def test_near_duplicates(odd, empty, docs):
@@ -361,11 +366,16 @@ def test_golay_code_is_perfect_and_keys_meet():
     assert ((probes == simhash.decode(close)[:, None]).any(axis=1)).all() and probes.shape[1] <= 6
 
 
-def test_first_of_each_group(odd, empty):
-    rows = near_brute(texts_of(odd))
+def test_first_of_each_group(spark, odd, empty):
+    texts = texts_of(odd)
+    members = defaultdict(set)
+    for (doc, text), (*_, group) in zip(texts, near_groups(texts)):
+        members[group].add((doc is None, doc or 0, text))
     got = simhash.first_of_each_group(odd)
     assert got.columns == odd.columns
-    assert sorted(repr(r.doc_id) for r in got.collect()) == sorted({repr(c) for _, _, c in rows})
+    found = Counter(next(g for g, m in members.items() if (r.doc_id is None, r.doc_id or 0, r.text) in m) for r in got.collect())
+    assert found == Counter(list(members))
+    assert all((r.doc_id is None, r.doc_id or 0) in {min(x[:2] for x in m) for m in members.values()} for r in got.collect())
     assert simhash.first_of_each_group(empty).count() == 0
 
 
@@ -551,7 +561,7 @@ def test_exact_duplicates(odd, empty, docs):
 
 
 def test_drop_duplicate_texts(odd, docs):
-    for df in (odd.where("doc_id <> 9 OR doc_id IS NULL"), docs):
+    for df in (odd, docs):
         out = exact_dedup.drop_duplicate_texts(df)
         kept = [d for d, keep, _, stays, _ in exact_brute(texts_of(df)) if stays]
         assert out.columns == df.columns and sorted(repr(r.doc_id) for r in out.collect()) == sorted(map(repr, kept))
