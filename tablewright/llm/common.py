@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
+#: Narrow rows that one task writes at least, where a table's size is known.
+ROWS_A_TASK = 250_000
+
 #: ASCII blanks; words of the quality and near-duplicate operators are runs of anything else.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
@@ -39,13 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     Cuts lineage in a way that outlives lost executors, and makes the reader a plain scan, so that a join
     above it gets its own exchange, whose skewed partitions adaptive execution can split.
+
+    `rows` is about how many narrow rows to expect: a table that is small for the shuffle's partitions is
+    written by fewer tasks, one for each core at least, instead of as very many tiny files. It changes no result.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK + 1))
     path = f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

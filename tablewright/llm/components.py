@@ -20,18 +20,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a count and a checksum. A node's minimum is summed before the shuffle, and joins meet stored tables, so
     a node with very many edges is split. The rounds grow with the logarithm of the longest path.
     """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges"
-    )
+    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(both.distinct(), "cc-edges", edges.count())
     state = _state(now)
     while state[0]:
+        rows = 2 * state[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-large")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-large", rows)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = materialize(large.distinct(), "cc-large-star")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-small")
+        large = materialize(large.distinct(), "cc-large-star", rows)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-small", rows)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc-edges")
+        now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc-edges", rows)
         was, state = state, _state(now)
         if was == state:
             break

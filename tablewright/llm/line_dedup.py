@@ -52,12 +52,13 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     rows = rows.where(F.size("lines") >= WINDOW).withColumn("lines", hashed)
     places = rows.select("doc_id", "k1", "k2", F.inline(_windows(F.col("lines"))))
     places = materialize(places, "lines-windows")
+    n = places.count()
     place = F.struct(F.col("doc_id"), F.col("at")[0].alias("line"), F.col("k1"), F.col("k2"))
     groups = places.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = materialize(groups.where("first <> last").select("w1", "w2", "first"), "lines-repeated")
+    repeated = materialize(groups.where("first <> last").select("w1", "w2", "first"), "lines-repeated", n // 2)
     later = places.join(repeated.hint("merge"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("covered"))
-    return materialize(gone, "lines-covered")
+    return materialize(gone, "lines-covered", n)
 
 
 def _with_covered(docs: DataFrame) -> DataFrame:

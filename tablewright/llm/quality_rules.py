@@ -139,9 +139,9 @@ def lines_lost(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX
         .where(F.col("holders") > F.col("docs") * max_share)
         .select("host", "line")
     )
-    lost = held.join(materialize(over, "quality-over"), ["host", "line"])
+    lost = held.join(materialize(over, "quality-over", classes.count()), ["host", "line"])
     lost = lost.groupBy("host", "k1", "k2").agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("gone"))
-    return materialize(lost, "quality-lost")
+    return materialize(lost, "quality-lost", classes.count())
 
 
 def _base_failed(n_words: Column, n_repeat: Column, min_words: int) -> Column:

@@ -151,33 +151,35 @@ def close_stars(nodes: DataFrame) -> DataFrame:
         F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
     named = _spread(nodes).select(word.alias("word"), "fp")
     met = named.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
-    met = materialize(met, "simhash-met")
+    met = materialize(met, "simhash-met", nodes.count())
     return named.join(met, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def group_fingerprints(nodes: DataFrame) -> DataFrame:
     """(node, component) of the stored table `nodes` (fp, distinct) by links of 3 bits or fewer; singles are left out."""
-    stars = materialize(close_stars(nodes), "simhash-stars")
-    near = materialize(connected_components(stars), "simhash-near")
+    n = nodes.count()
+    stars = materialize(close_stars(nodes), "simhash-stars", n)
+    near = materialize(connected_components(stars), "simhash-near", n)
     grouped = materialize(
-        nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", F.coalesce("component", "fp").alias("group")), "simhash-grouped"
+        nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", F.coalesce("component", "fp").alias("group")), "simhash-grouped", n
     )
     schema = "key BIGINT, fp BIGINT, group BIGINT"
     index = grouped.mapInArrow(_keys_of(False), schema)
     probe = _spread(grouped).mapInArrow(_keys_of(True), schema).toDF("key", "fp2", "group2")
     linked = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("group") < F.col("group2")) & linked)
-    links = materialize(met.select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct(), "simhash-links")
+    links = materialize(met.select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct(), "simhash-links", n)
     inner = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialize(connected_components(inner.unionByName(links)), "simhash-components")
+    return materialize(connected_components(inner.unionByName(links)), "simhash-components", n)
 
 
 def _name_groups(rows: DataFrame, least: Column) -> DataFrame:
     """(fp, least, group) of the stored table `rows`: `least` over the rows of each fingerprint, and its group."""
-    nodes = materialize(rows.groupBy("fp").agg(least.alias("least")), "simhash-nodes")
+    n = rows.count()
+    nodes = materialize(rows.groupBy("fp").agg(least.alias("least")), "simhash-nodes", n)
     groups = group_fingerprints(nodes.select("fp"))
     named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    return materialize(named, "simhash-named")
+    return materialize(named, "simhash-named", n)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(fingerprints(docs), "simhash-fingerprints")
     named = _name_groups(rows, F.min("doc_id"))
     first = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    ids = materialize(named.join(first, "group").select("fp", "component_id"), "simhash-ids")
+    ids = materialize(named.join(first, "group").select("fp", "component_id"), "simhash-ids", named.count())
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -204,5 +206,5 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     keep = named.groupBy("group").agg(F.min("least").alias("least"))
     keep = keep.select(plain(F.col("least.doc_id")).alias("_near_id"), F.col("least.k1").alias("_near_k1"), F.col("least.k2").alias("_near_k2"))
     keyed = docs.withColumns({"_near_id": plain(F.col("doc_id").cast("long")), "_near_k1": k1, "_near_k2": k2})
-    kept = keyed.join(materialize(keep, "simhash-keep").hint("merge"), keep.columns, "left_semi")
+    kept = keyed.join(materialize(keep, "simhash-keep", named.count()).hint("merge"), keep.columns, "left_semi")
     return with_length(kept.dropDuplicates(keep.columns), docs)
