@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import line_dedup, packing, quality_classifier, quality_rules, simhash
+from tablewright.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules
 from tablewright.llm.common import materialize, read_table
 
 #: Words whose ids a worker keeps: fewer than alone, as executors still hold what earlier stages have left.
@@ -27,8 +27,8 @@ def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.first_of_each_group(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return near_dedup.first_of_each_group(docs)
 
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

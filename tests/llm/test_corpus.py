@@ -15,6 +15,7 @@ from tablewright.llm import (
     exact_dedup,
     license_scan,
     line_dedup,
+    near_dedup,
     packing,
     piece_sampling,
     quality_classifier,
@@ -379,6 +380,55 @@ def test_first_of_each_group(spark, odd, empty):
     assert simhash.first_of_each_group(empty).count() == 0
 
 
+def jaccard_groups(texts):
+    """The group number of each text: links of 5-word Jaccard similarity 0.8 or more, by all pairs."""
+    words = [WORDS.findall((t or "").translate(LOWER)) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_near_dedup_stage_links_by_five_word_similarity(spark, odd, empty, docs):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 220)]
+        for edits in (0, 2, 3, 4, 12):
+            words = list(base)
+            for at in rng.choice(len(words), edits, replace=False):
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    # chains: neighbours are near, the others are not
+    for family in range(8):
+        chain = [f"c{x}" for x in rng.integers(0, 10**6, 240)]
+        rows += [(1000 + 10 * family + i, " ".join(chain[15 * i : 15 * i + 180])) for i in range(5)]
+    planted = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    far = 0
+    for df in (planted, odd, empty, docs):
+        texts = texts_of(df)
+        groups = jaccard_groups([t for _, t in texts])
+        least, members = {}, defaultdict(set)
+        for (doc, text), g in zip(texts, groups):
+            at = (doc is None, doc or 0)
+            least[g] = min(at, least.get(g, at))
+            members[at, text].add(g)
+        out = pipeline.apply_near_dedup(spark, df, "")
+        assert out.columns == df.columns
+        got = [((r.doc_id is None, r.doc_id or 0), r.text) for r in out.collect()]
+        found = Counter(next(iter(members[x])) for x in got)
+        assert found == Counter(list(least)) and all(x[0] == least[next(iter(members[x]))] for x in got)
+        if df is planted:
+            prints = [print_of(t) for _, t in texts]
+            far = sum(groups[i] == groups[j] and (prints[i] ^ prints[j]).bit_count() > 3 for i in range(len(texts)) for j in range(i))
+    assert far > 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
