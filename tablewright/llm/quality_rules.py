@@ -28,6 +28,10 @@ MIN_WORDS = 50
 MIN_DOCS = 20
 MAX_SHARE = 0.08
 MIN_LEFT = 0.5
+#: Limits of the pipeline's stage: the bar follows the host's size only up to STAGE_MAX_DOCS.
+STAGE_MIN_DOCS = 3
+STAGE_MAX_SHARE = 0.03
+STAGE_MAX_DOCS = 200
 SYMBOLS = "#*$%&|<>"
 
 _BLANK_BYTES = BLANKS.encode()
@@ -122,21 +126,24 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_measure_batches, _MEASURED_DDL), "quality-measured")
 
 
-def lines_lost(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def lines_lost(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int | None = None) -> DataFrame:
     """Classes (host, text) that hold lines over the limit, with these lines and their words.
 
     One row stands for each class, so a text that a third of all rows repeat is one row here. Line counts
-    are summed before the shuffle; a line that every document holds is one row of each task.
+    are summed before the shuffle; a line that every document holds is one row of each task. With `max_docs`,
+    a line that more documents hold is over the limit in a host of any size.
     """
     classes = materialize(rows.groupBy("host", "k1", "k2").agg(F.first("lines").alias("lines")), "quality-classes")
     sizes = classes.groupBy("host").agg(F.count("*").alias("docs"))
     held = classes.select("host", "k1", "k2", F.inline("lines"))
+    bar = F.col("docs") * max_share
+    bar = bar if max_docs is None else F.least(bar, F.lit(float(max_docs)))
     over = (
         held.groupBy("host", "line")
         .agg(F.count("*").alias("holders"))
         .where(F.col("holders") > min_docs)
         .join(sizes, "host")
-        .where(F.col("holders") > F.col("docs") * max_share)
+        .where(F.col("holders") > bar)
         .select("host", "line")
     )
     lost = held.join(materialize(over, "quality-over", classes.count()), ["host", "line"])
@@ -192,7 +199,7 @@ def _without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
 
 def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without the lines over the limit; the columns of `docs` stay."""
-    lost = lines_lost(measured(docs))
+    lost = lines_lost(measured(docs), STAGE_MIN_DOCS, STAGE_MAX_SHARE, STAGE_MAX_DOCS)
     facts = F.arrow_udf(_row_facts, "struct<k1: bigint, k2: bigint, words: bigint, repeat: bigint>").asNondeterministic()  # evaluated once
     rows = docs.withColumns({"_host": _host(), "_facts": facts(F.coalesce("text", F.lit("")))})
     rows = rows.where(~_base_failed(F.col("_facts.words"), F.col("_facts.repeat"), min_words))

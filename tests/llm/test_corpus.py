@@ -133,6 +133,19 @@ def test_quality_removes_frequent_lines(spark):
     assert set(got) == set(range(60)) and all("footer" not in t.lower() for t in got.values())
 
 
+def test_quality_stage_removes_footers_at_any_rate_and_host_size(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for host, size, rate in (("a", 40, 0.15), ("b", 50, 0.1), ("c", 400, 0.04), ("d", 400, 0.1), ("e", 10_000, 0.03), ("f", 10_000, 0.06)):
+        for i, n in enumerate(rng.integers(0, 10**6, (size, 60))):
+            foot = f"Footer of {host}\n" if i < size * rate else ""
+            rows.append((len(rows), foot + "\n".join(f"{host} {i} {j} {x}" for j, x in enumerate(n)), "en", host, 1))
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+    got = quality_rules.filter_documents(df).collect()
+    assert len(got) == len(rows) and not {r.source for r in got if "Footer" in r.text}
+    assert all(r.text.count("\n") == 59 for r in got)
+
+
 # op2
 
 
