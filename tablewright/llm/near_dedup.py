@@ -117,10 +117,13 @@ def _place(least: str = "least") -> list[Column]:
     return [_plain(F.col(f"{least}.doc_id")).alias("_near_id"), F.col(f"{least}.k1").alias("_near_k1"), F.col(f"{least}.k2").alias("_near_k2")]
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) of the stored table `pairs` whose texts are similar, by all their shingles."""
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of the stored table `pairs` whose texts are similar, by all their shingles.
+
+    Sort-merge joins are written by all tasks of their shuffle: fewer would hold the memory of many sorts at once.
+    """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", *_place()), "near-wanted", n)
+    wanted = materialize(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", *_place()), "near-wanted")
     texts = _keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("found"), "text"))
     texts = texts.select(*_KEY, "found").join(wanted.hint("merge"), _KEY).select("node", F.col("found").alias("text"))
     sets = materialize(texts.dropDuplicates(["node"]).mapInArrow(_set_batches, "node BIGINT, found BINARY"), "near-sets")
@@ -129,7 +132,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> Data
     half = materialize(pairs.join(of("b").hint("merge"), "b"), "near-half")
     both = half.join(of("a").hint("merge"), "a")
     holds = F.arrow_udf(_similar, "boolean")
-    return materialize(both.where(holds("set_a", "set_b")).select("a", "b"), "near-links", n)
+    return materialize(both.where(holds("set_a", "set_b")).select("a", "b"), "near-links")
 
 
 def _components(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -146,8 +149,8 @@ def group_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     first = held.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first.select("key", F.col("first.node").alias("b"), F.col("first.size").alias("size_b")), "near-first", n)
     stars = held.join(first.hint("merge"), "key").where((F.col("node") != F.col("b")) & _close("size", "size_b"))
-    stars = materialize(stars.select(F.col("node").alias("a"), "b").distinct(), "near-stars", n)
-    links = _linked(docs, nodes, stars, n)
+    stars = materialize(stars.select(F.col("node").alias("a"), "b").distinct(), "near-stars")
+    links = _linked(docs, nodes, stars)
     groups = _components(links, nodes, n)
 
     # bands of one group are done; in the others whoever is not of the band's largest group meets all other groups
@@ -155,13 +158,13 @@ def group_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = materialize(shared.join(groups, "node").select("key", "node", "size", "group"), "near-placed", n)
     top = placed.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "group"))["group"].alias("top"), F.count("*").alias("groups"))
-    open_ = materialize(placed.join(top.where("groups > 1").select("key", "top").hint("merge"), "key"), "near-open", n)
+    open_ = materialize(placed.join(top.where("groups > 1").select("key", "top").hint("merge"), "key"), "near-open")
     one = open_.where("group <> top").select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("group").alias("group_x"))
     apart = (F.col("group") == F.col("top")) | (F.col("group_x") < F.col("group"))
     met = one.join(open_.hint("merge"), "key").where((F.col("group_x") != F.col("group")) & apart & _close("size_x", "size"))
     pairs = met.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
-    pairs = materialize(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-pairs", n)
-    more = _linked(docs, nodes, pairs, n)
+    pairs = materialize(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
+    more = _linked(docs, nodes, pairs)
     return _components(materialize(links.unionByName(more), "near-edges", n), nodes, n)
 
 
