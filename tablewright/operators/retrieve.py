@@ -107,9 +107,10 @@ def fused(dense: DataFrame, sparse: DataFrame, weight: float = 0.5, k: int = 5)
     return _top(both.select("query_id", "id", F.round(score, 6).alias("score")), k, [F.desc("score"), F.asc("id")])
 
 
-def context(hits: DataFrame, docs: DataFrame, chars: int = 200) -> DataFrame:
-    """(query_id, context): hits in rank order, each with its citation."""
-    rows = hits.join(docs, "id").select("query_id", "rank", F.concat(F.lit("["), "id", F.lit("] "), F.substring("text", 1, chars)).alias("c"))
+def context(hits: DataFrame, docs: DataFrame, chars: int | None = None) -> DataFrame:
+    """(query_id, context): hits in rank order, each with its citation, whole or its first `chars` characters."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    rows = hits.join(docs, "id").select("query_id", "rank", F.concat(F.lit("["), "id", F.lit("] "), text).alias("c"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"])
     return rows.groupBy("query_id").agg(F.array_join(ordered, "\n").alias("context"))
 

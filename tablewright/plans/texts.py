@@ -136,7 +136,16 @@ def hybrid_fusion(embeddings: DataFrame) -> DataFrame:
 @query("documents", "benchmark", sql=f"""WITH {_BM25}
 SELECT query_id, string_agg('[' || id || '] ' || substring(text, 1, 200), chr(10) ORDER BY rank) AS context FROM sparse JOIN documents ON id = doc_id GROUP BY query_id""")
 def context_assembly(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return V.context(_bm25(documents, benchmark), documents.select(C("doc_id").alias("id"), "text"))
+    """The beginnings of whole-document hits, as its SQL has them; `chunk_context` gives whole chunks."""
+    return V.context(_bm25(documents, benchmark), documents.select(C("doc_id").alias("id"), "text"), 200)
+
+
+@query("documents", "benchmark", sql=f"""WITH chunks AS (SELECT doc_id || '-' || chunk_index AS doc_id, chunk AS text FROM ({ORACLE_SQL["sentence_chunks"]})), {_BM25.replace("FROM documents", "FROM chunks")}
+SELECT query_id, string_agg('[' || id || '] ' || text, chr(10) ORDER BY rank) AS context FROM sparse JOIN chunks ON id = doc_id GROUP BY query_id""")
+def chunk_context(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The top chunks of each query, whole."""
+    chunks = X.sentence_chunks(documents, "doc_id", "text").select(F.concat_ws("-", "doc_id", "chunk_index").alias("id"), C("chunk").alias("text"))
+    return V.context(V.bm25_topk(benchmark.select(C("item_id").alias("query_id"), "text"), chunks), chunks)
 
 
 @query("conversations", sql="""

@@ -79,3 +79,12 @@ def test_clean_html(spark):
     assert one(spark, X.clean_html(F.lit(html)), X.clean_html(F.lit(None).cast("string"))) == ("A & B text here", "")
     pages = spark.createDataFrame([(1, "intro<h1>One</h1><p>a</p><h2>Two</h2>b")], "p LONG, html STRING")
     assert [tuple(r) for r in X.sections(pages, "p", "html").collect()] == [(1, 0, "", "intro"), (1, 1, "One", "a"), (1, 2, "Two", "b")]
+
+
+def test_context_holds_whole_hits(spark):
+    from tablewright.operators import retrieve
+
+    text = " ".join(f"word{i}" for i in range(200))
+    hits = spark.createDataFrame([(1, 7, 1)], "query_id LONG, id LONG, rank LONG")
+    got = retrieve.context(hits, spark.createDataFrame([(7, text)], "id LONG, text STRING")).collect()
+    assert [tuple(r) for r in got] == [(1, f"[7] {text}")]
