@@ -78,6 +78,18 @@ def chunk_records(documents: DataFrame) -> DataFrame:
     )
 
 
+@query("documents", sql="""
+SELECT doc_id || '-' || i AS chunk_id, doc_id, i::INTEGER AS chunk_index, substring(t, (i * 80 + 1)::BIGINT, 100) AS chunk, source AS source_url, lang AS series, concat_ws('|', lang, source) AS models_csv
+FROM (SELECT *, coalesce(text, '') AS t FROM documents), unnest(range(0, greatest(1, ceil((length(t) - 20) / 80.0)::BIGINT))) r(i)""")
+def all_chunk_records(documents: DataFrame) -> DataFrame:
+    """A record for every chunk of every document, the chunk and its group as columns."""
+    rows = X.fixed_chunks(documents, "doc_id", "text").join(documents.select("doc_id", "source", "lang"), "doc_id")
+    return rows.select(
+        F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "chunk", C("source").alias("source_url"), C("lang").alias("series"),
+        F.array_join(F.array("lang", "source"), "|").alias("models_csv"),
+    )
+
+
 @query("benchmark", sql="""
 SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS question FROM benchmark""")
 def query_preprocess(benchmark: DataFrame) -> DataFrame:

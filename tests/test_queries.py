@@ -47,3 +47,10 @@ def test_entry_works_without_the_corpus_operators(spark, small):
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLE_SQL) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
+
+
+def test_every_document_has_chunk_records(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = QUERIES["all_chunk_records"](spark, small)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert "chunk" in got.columns
