@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
-#: Narrow rows that one task writes at least, where a table's size is known.
+#: Narrow rows that one task writes, where a table's size is known.
 ROWS_A_TASK = 250_000
 
 #: ASCII blanks; words of the quality and near-duplicate operators are runs of anything else.
@@ -48,12 +48,13 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     Cuts lineage in a way that outlives lost executors, and makes the reader a plain scan, so that a join
     above it gets its own exchange, whose skewed partitions adaptive execution can split.
 
-    `rows` is about how many narrow rows to expect: a table that is small for the shuffle's partitions is
-    written by fewer tasks, one for each core at least, instead of as very many tiny files. It changes no result.
+    `rows` is how many narrow rows to expect at most: a table that is small for the shuffle's partitions is dealt
+    to fewer tasks before it is written, instead of as very many tiny files. The work that makes the rows
+    keeps all its tasks, and no result changes.
     """
     spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK + 1))
+    if rows is not None and (tasks := rows // ROWS_A_TASK + 2) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(tasks)
     path = f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -87,6 +88,23 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """`row`, all columns of `docs` as one struct, and `keys` beside it: no name of a user's column can clash with them."""
+    columns = (F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)
+    return docs.select(F.struct(*columns).alias("row"), *(v.alias(k) for k, v in keys.items()))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of `docs` again; with `text`, that is the new text, and `n_chars` is counted anew if there is such a column."""
+    if text is None:
+        return rows.select("row.*")
+    new = F.col("row").withField("text", text)
+    rows = rows.select(new.alias("row"))
+    if "n_chars" in docs.columns:
+        rows = rows.select(F.col("row").withField("n_chars", F.length(F.col("row")["text"]).cast(docs.schema["n_chars"].dataType)).alias("row"))
+    return rows.select("row.*")
+
+
 def with_length(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of `docs` from `rows`, `n_chars` counted anew if there is such a column."""
     if "n_chars" in docs.columns:

@@ -1,16 +1,29 @@
-"""Near-dedup of the pipeline: word shingles of five, exact Jaccard similarity of 0.8 or more.
-
-Candidates. MinHash: 120 values of a text's distinct shingles, in 24 bands of five. Two texts of similarity s share a
-band with probability 1 - (1 - s^5)^24, 0.99993 at 0.8; this is the only place where a pair can be missed.
-
-Links. Every candidate pair is held against `SIMILARITY` by the 64-bit hashes of all its shingles. First each text
-meets the smallest one of each of its bands and the links that hold are contracted; then, in bands with texts of
-more than one group, all pairs of different groups are compared, each once. So a dense group of near copies does
-not become all its pairs, and a text that is unlike the smallest of a band still meets the others.
-
-Cases. Texts whose words are equal but for A-Z are one node, known by 64 bits. Fewer than five words: one shingle.
-Texts without words, null ones too, are one node. Repeated rows, null doc_ids and extra columns are taken as
-`simhash.first_of_each_group` takes them.
+"""Near-dedup by similarity, the SimHash operator's form for stages: five-word shingles, Jaccard similarity of 0.8 or more.
+
+Why another form. `simhash` links fingerprints of 64 bits at three differing bits, as its query's contract says; most texts of
+similarity 0.8 differ in more. Here fingerprints are longer, and a link is decided by the shingles themselves.
+
+Fingerprint. A text's distinct shingles are hashed to 1104 bits; each bit's margin is how many more shingles set it than
+not. The bits fall into 48 segments of 23, words of the Golay code of `simhash`.
+
+Keys. A segment is decoded to nearby codewords: its word, and the words that differ in the `FLIPS` bits of least margin,
+each go to their nearest codeword; the `NEAR` of them that cost the least margin stay. Three segments make a group; its
+`KEYS` cheapest triples of codeword numbers are 36-bit keys. Pigeonhole: the errors between two fingerprints are spread over
+16 groups, and one with few errors is enough to meet. Two texts of similarity s share a key with probability 0.98 at 0.8,
+0.999 at 0.85 (measured, README); this is the only place where a pair can be missed. Texts that are not similar meet
+by chance once in 2^36 / `KEYS`, so keys do not fill up as the corpus grows.
+
+Links. Texts that meet are held against `SIMILARITY` by the hashes of all their shingles. At a key with few texts, all pairs are.
+At a key with many, each is held against one of them, that which meets the most others; links are contracted. Where more
+than one group is left at such a key, no pair within a group is compared, and the others are found by what they hold
+beyond a centre text c of the key's largest group: if x is not similar to c and y is similar to x, then x and y share a
+shingle outside c, or what y has of c is enough for both, which bounds y's size (`_beyond`). So x meets only texts that
+share one of its rarest shingles, or are of such a size; that is exact and keeps dense groups from becoming all their pairs.
+
+Cases. Texts whose words are equal but for A-Z are one node, known by 64 bits. Fewer than five words: one shingle. Texts without
+words, null ones too, are one node. A row is known by doc_id and text; of rows that repeat both, one stays. Null doc_ids
+come after all others. Very long texts are hashed in blocks. An empty table gives an empty result. Extra columns, whatever
+their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,18 +36,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import each_text, materialize, text_key, with_length, worker_cache
+from tablewright.llm.common import boxed, each_text, materialize, text_key, unboxed, worker_cache
 from tablewright.llm.components import connected_components
+from tablewright.llm.simhash import codewords, syndromes
 
 WORDS = 5
 #: Least similarity of a link, as a fraction.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 24, 5
+#: Groups of segments, and segments in each.
+GROUPS, SEGMENTS = 16, 3
+BITS = 23
+#: Bits of least margin that are flipped, codewords kept for a segment, keys kept for a group.
+FLIPS, NEAR, KEYS = 5, 6, 8
+#: Texts at a key of which all pairs are compared.
+FEW = 8
+#: Texts whose keys are made together.
+SLICE = 64
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_rng = np.random.default_rng(42)
-_MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_LANES = -(-GROUPS * SEGMENTS * BITS // 64)
+_SPREAD = np.random.default_rng(42).integers(0, 1 << 63, _LANES, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+_PATTERNS = (np.arange(1 << FLIPS)[:, None] >> np.arange(FLIPS)) & 1
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -51,37 +74,72 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """One signed key for each band of the texts' MinHash values; none for no shingles."""
-    if not len(found):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 2048):
-        least = np.minimum(least, (found[i : i + 2048, None] * _MULTIPLY + _ADD).min(axis=0))
-    least = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(least[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-
-
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two sets of shingles, as `shingles` gives them, are as similar as `SIMILARITY`."""
-    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * SIMILARITY[1] >= (len(a) + len(b) - both) * SIMILARITY[0]
+def margins(found: np.ndarray) -> np.ndarray:
+    """(segments, 23): how many more of the shingles set a bit than not."""
+    ones = np.zeros(64 * _LANES, np.int64)
+    for i in range(0, len(found), 255):  # as many as a byte can count
+        bits = found[i : i + 255, None] * _SPREAD
+        bits ^= bits >> np.uint64(32)
+        bits *= np.uint64(0xBF58476D1CE4E5B9)
+        bits ^= bits >> np.uint64(29)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * ones - len(found))[: GROUPS * SEGMENTS * BITS].reshape(-1, BITS)
+
+
+def near_codewords(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The `NEAR` codeword numbers of least cost for each row of 23 margins, and their costs: the margins they go against."""
+    weight = np.abs(margin).astype(np.float32)
+    word = (margin > 0) @ _PLACE
+    weak = np.argsort(weight, axis=1, kind="stable")[:, :FLIPS]
+    tried = word[:, None] ^ (_PLACE[weak] @ _PATTERNS.T)
+    number = np.sort((tried ^ codewords()[syndromes(tried)]) >> 11, axis=1)
+    against = ((number << 11) | syndromes(number << 11)) ^ word[:, None]
+    cost = np.zeros(against.shape, np.float32)
+    for i in range(BITS):
+        cost += ((against >> (BITS - 1 - i)) & 1) * weight[:, i : i + 1]
+    cost[:, 1:][number[:, 1:] == number[:, :-1]] = np.inf
+    best = np.argsort(cost, axis=1, kind="stable")[:, :NEAR]
+    return np.take_along_axis(number, best, 1), np.take_along_axis(cost, best, 1)
+
+
+def golay_keys(margin: np.ndarray) -> list[list[int]]:
+    """The distinct keys of each of the texts whose margins (texts, segments, 23) are given."""
+    n = len(margin)
+    number, cost = near_codewords(margin.reshape(-1, BITS))
+    number, cost = (x.reshape(n, GROUPS, SEGMENTS, NEAR) for x in (number, cost))
+    key = np.broadcast_to(np.arange(GROUPS, dtype=np.int64)[None, :, None], (n, GROUPS, 1))
+    total = np.zeros((n, GROUPS, 1), np.float32)
+    for k in range(SEGMENTS):
+        key = ((key[..., None] << 12) | number[:, :, k, None, :]).reshape(n, GROUPS, -1)
+        total = (total[..., None] + cost[:, :, k, None, :]).reshape(n, GROUPS, -1)
+    best = np.argsort(total, axis=2, kind="stable")[:, :, :KEYS]
+    real = np.isfinite(np.take_along_axis(total, best, 2))
+    key = np.take_along_axis(key, best, 2)
+    return [np.unique(key[i][real[i]]).tolist() for i in range(n)]
+
+
+def similar(both: int | Column, a: int | Column, b: int | Column) -> bool | Column:
+    """Whether sets of sizes `a` and `b` with `both` members in common are as similar as `SIMILARITY`."""
+    return both * SIMILARITY[1] >= (a + b - both) * SIMILARITY[0]
 
 
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_cache()
     for batch in batches:
-        nodes, sizes, bands = [], [], []
-        for text in each_text(batch.column("text")):
-            words = text.lower().split()
-            found = shingles(words)
-            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
-            sizes.append(len(found))
-            bands.append(band_keys(found))
+        nodes, sizes, keys = [], [], []
+        for i in range(0, batch.num_rows, SLICE):
+            waiting = []
+            for text in each_text(batch.column("text").slice(i, SLICE)):
+                words = text.lower().split()
+                found = shingles(words)
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
+                sizes.append(len(found))
+                waiting.append(margins(found))
+            made = golay_keys(np.stack(waiting))
+            keys += [x if size else [] for x, size in zip(made, sizes[i:])]
         narrow = batch.drop_columns(["text"])
-        out = [*narrow.columns, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(out, [*narrow.schema.names, "node", "size", "bands"])
+        out = [*narrow.columns, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, [*narrow.schema.names, "node", "size", "keys"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +149,40 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "found"])
 
 
-def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similar(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.bool_())
+def _both(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_py(), np.uint64)
+
 
+def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
+    sets = ((_set(x), _set(y)) for x, y in zip(a, b))
+    return pa.array([similar(_both(x, y), len(x), len(y)) for x, y in sets], pa.bool_())
 
-def _close(a: str, b: str) -> Column:
+
+_BEYOND = "struct<both: bigint, beyond: array<bigint>>"
+
+
+def _beyond(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How much of set `a` lies in `b`, and the first of what does not.
+
+    Let x and y be similar, so that each holds at least 4/5 of the other's size in common. If they share a shingle outside c,
+    it is among the first fifth of the size, and one more, of what x has beyond c in the order of hashes, and of
+    what y has, too: a set in common of at least 4/5 of x, less what lies in c, leaves no more out. If they share
+    none, all that they share lies in c.
+    """
+    rows = []
+    for x, c in zip(a, b):
+        x = _set(x)
+        more = np.setdiff1d(x, _set(c), assume_unique=True)  # sorted
+        first = more[: len(x) * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1] + 1]
+        rows.append({"both": len(x) - len(more), "beyond": first.view(np.int64).tolist()})
+    return pa.array(rows, pa.struct([("both", pa.int64()), ("beyond", pa.list_(pa.int64()))]))
+
+
+def _close(a: str | Column, b: str | Column) -> Column:
     """Sets of these sizes can be similar enough."""
     return F.least(a, b) * SIMILARITY[1] >= F.greatest(a, b) * SIMILARITY[0]
 
@@ -105,67 +192,120 @@ def _plain(col: Column) -> Column:
     return F.coalesce(col, F.lit(-(1 << 63)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    k1, k2 = text_key(F.col("text").cast("string"))
-    return docs.withColumns({"_near_id": _plain(F.col("doc_id").cast("long")), "_near_k1": k1, "_near_k2": k2})
+_KEY = ["near_id", "near_k1", "near_k2"]
 
 
-_KEY = ["_near_id", "_near_k1", "_near_k2"]
+def _row_key(doc_id: Column, text: Column) -> dict[str, Column]:
+    return dict(zip(_KEY, (_plain(doc_id.cast("long")), *text_key(text.cast("string")))))
 
 
 def _place(least: str = "least") -> list[Column]:
-    return [_plain(F.col(f"{least}.doc_id")).alias("_near_id"), F.col(f"{least}.k1").alias("_near_k1"), F.col(f"{least}.k2").alias("_near_k2")]
+    return [_plain(F.col(f"{least}.doc_id")).alias("near_id"), F.col(f"{least}.k1").alias("near_k1"), F.col(f"{least}.k2").alias("near_k2")]
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of the stored table `pairs` whose texts are similar, by all their shingles.
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, found) of the `wanted` nodes: all shingles, read anew from one text of each."""
+    wanted = materialize(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", *_place()), "near-wanted")
+    keys = _row_key(F.col("doc_id"), F.col("text"))
+    texts = docs.select(*(v.alias(k) for k, v in keys.items()), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(wanted.hint("merge"), _KEY).select("node", "text").dropDuplicates(["node"])
+    return materialize(texts.mapInArrow(_set_batches, "node BIGINT, found BINARY"), "near-sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) and both sets. The many pairs of one text meet stored sets, so that such a key is split.
 
     Sort-merge joins are written by all tasks of their shuffle: fewer would hold the memory of many sorts at once.
     """
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", *_place()), "near-wanted")
-    texts = _keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("found"), "text"))
-    texts = texts.select(*_KEY, "found").join(wanted.hint("merge"), _KEY).select("node", F.col("found").alias("text"))
-    sets = materialize(texts.dropDuplicates(["node"]).mapInArrow(_set_batches, "node BIGINT, found BINARY"), "near-sets")
     of = lambda x: sets.select(F.col("node").alias(x), F.col("found").alias(f"set_{x}"))
-    # the many pairs of one smallest text meet stored sets: such a key is split
-    half = materialize(pairs.join(of("b").hint("merge"), "b"), "near-half")
-    both = half.join(of("a").hint("merge"), "a")
-    holds = F.arrow_udf(_similar, "boolean")
-    return materialize(both.where(holds("set_a", "set_b")).select("a", "b"), "near-links")
+    return materialize(pairs.join(of("b").hint("merge"), "b"), "near-half").join(of("a").hint("merge"), "a")
 
 
-def _components(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, group) of all nodes."""
-    found = connected_components(edges).withColumnRenamed("node", "of")
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, by all their shingles."""
+    rows = _with_sets(pairs, sets).where(F.arrow_udf(_linked, "boolean")("set_a", "set_b"))
+    return materialize(rows.select("a", "b"), "near-links")
+
+
+def _groups(links: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, group) of all `nodes`."""
+    found = connected_components(links).withColumnRenamed("node", "of")
     named = nodes.join(found, nodes["node"] == found["of"], "left").select("node", F.coalesce("component", "node").alias("group"))
     return materialize(named, "near-groups", n)
 
 
-def group_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, group) of the stored table `nodes` (node, size, bands, least); `least` is the place of its text in `docs`."""
-    n = nodes.count()
-    held = materialize(nodes.select("node", "size", F.explode("bands").alias("key")), "near-bands")
-    first = held.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select("key", F.col("first.node").alias("b"), F.col("first.size").alias("size_b")), "near-first", n)
-    stars = held.join(first.hint("merge"), "key").where((F.col("node") != F.col("b")) & _close("size", "size_b"))
-    stars = materialize(stars.select(F.col("node").alias("a"), "b").distinct(), "near-stars")
-    links = _linked(docs, nodes, stars)
-    groups = _components(links, nodes, n)
-
-    # bands of one group are done; in the others whoever is not of the band's largest group meets all other groups
-    shared = held.join(first.select("key").hint("merge"), "key", "left_semi")
-    placed = materialize(shared.join(groups, "node").select("key", "node", "size", "group"), "near-placed", n)
+def _first_pairs(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, b): all pairs at keys with few nodes, and each node with the heaviest at keys with many."""
+    few = members.where(F.col("n") <= FEW).select("key", "node", "size")
+    other = few.toDF("key", "other", "size_b")
+    pairs = few.join(other.hint("merge"), "key").where((F.col("node") > F.col("other")) & _close("size", "size_b"))
+    many = members.where(F.col("n") > FEW)
+    heaviest = many.join(weights.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("h"))
+    heaviest = materialize(heaviest.select("key", F.col("h.node").alias("other"), F.col("h.size").alias("size_b")), "near-heaviest")
+    stars = many.join(heaviest.hint("merge"), "key").where((F.col("node") != F.col("other")) & _close("size", "size_b"))
+    both = pairs.select("node", "other").unionByName(stars.select("node", "other"))
+    return materialize(both.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "near-pairs")
+
+
+def _class(size: Column) -> Column:
+    """Sizes in steps of a twentieth."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.05))).cast("int")
+
+
+def _more_pairs(members: DataFrame, weights: DataFrame, groups: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links to centres, and the pairs (a, b) of different groups that can still be similar, at keys with many nodes."""
+    placed = materialize(members.where(F.col("n") > FEW).join(groups.hint("merge"), "node").select("key", "node", "size", "group"), "near-placed")
     top = placed.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "group"))["group"].alias("top"), F.count("*").alias("groups"))
-    open_ = materialize(placed.join(top.where("groups > 1").select("key", "top").hint("merge"), "key"), "near-open")
-    one = open_.where("group <> top").select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("group").alias("group_x"))
-    apart = (F.col("group") == F.col("top")) | (F.col("group_x") < F.col("group"))
-    met = one.join(open_.hint("merge"), "key").where((F.col("group_x") != F.col("group")) & apart & _close("size_x", "size"))
-    pairs = met.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
-    pairs = materialize(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-    more = _linked(docs, nodes, pairs)
-    return _components(materialize(links.unionByName(more), "near-edges", n), nodes, n)
+    top = top.where("groups > 1").select(F.col("key").alias("at"), "top")
+    apart = placed.join(top.hint("merge"), (F.col("key") == F.col("at")) & (F.col("group") != F.col("top")))
+    apart = materialize(apart.select("node", "size", "group", "top").distinct(), "near-apart")
+    own = placed.select("node", "size", "group").distinct().join(apart.select(F.col("top").alias("group")).distinct().hint("merge"), "group")
+    centre = weights.join(groups.hint("merge"), "node").groupBy(F.col("group").alias("top")).agg(F.max(F.struct("weight", "node"))["node"].alias("b"))
+    open_ = apart.unionByName(own.select("node", "size", "group", F.col("group").alias("top"))).withColumnRenamed("node", "a")
+    open_ = materialize(open_.join(centre.hint("merge"), "top").where("a <> b"), "near-open")
+    held = _with_sets(open_, sets).withColumn("f", F.arrow_udf(_beyond, _BEYOND).asNondeterministic()("set_a", "set_b"))
+    held = held.select("a", "b", "size", "group", "top", (F.octet_length("set_b") / 8).cast("long").alias("size_b"), "f.both", "f.beyond")
+    linked = similar(F.col("both"), F.col("size"), F.col("size_b"))
+    held = materialize(held.withColumn("odd", (F.col("group") != F.col("top")) & ~linked), "near-beyond")
+    links = held.where((F.col("group") != F.col("top")) & ~F.col("odd")).select("a", "b")
+
+    # a size s that shares with x nothing beyond the centre: 4/9 (size + s) <= both
+    all_, odd = SIMILARITY[0] + SIMILARITY[1], F.col("odd")
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") * SIMILARITY[0] / SIMILARITY[1]))
+    most = F.floor(F.col("both") * all_ / SIMILARITY[0] - F.col("size"))
+    none = F.array().cast("array<int>")
+    asked = F.when(odd & (most >= least), F.sequence(_class(least), _class(F.greatest(most, least)))).otherwise(none)
+    fits = (F.col("both") * SIMILARITY[1] >= F.col("size") * SIMILARITY[0]) & (F.col("size") < F.col("size_b"))
+    own = F.when(fits, F.array(_class(F.col("size")))).otherwise(none)
+    token = lambda kind, x: F.xxhash64(F.lit(kind), "top", x)
+    shared = F.transform("beyond", lambda x: token("shingle", x))
+    sized = lambda found: F.transform(found, lambda x: token("size", x))
+    rows = held.select("a", "size", "group", "both", "odd", (F.col("size") - F.col("both")).alias("rest"), F.concat(shared, sized(asked)).alias("asks"), F.concat(shared, sized(own)).alias("has"))
+    x = rows.where(odd).select("a", "size", "group", "both", "rest", F.explode("asks").alias("token"))
+    y = rows.select(F.col("a").alias("b"), *(F.col(c).alias(f"{c}_y") for c in ("size", "group", "both", "rest", "odd")), F.explode("has").alias("token"))
+    x, y = materialize(x, "near-asked"), materialize(y, "near-has")
+    enough = (F.least("both", "both_y") + F.least("rest", "rest_y")) * all_ >= (F.col("size") + F.col("size_y")) * SIMILARITY[0]
+    pairs = x.join(y.hint("merge"), "token").where((F.col("group") != F.col("group_y")) & _close("size", "size_y") & enough)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return links, pairs
+
+
+def group_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, group) of the stored table `nodes` (node, size, keys, least); `least` is the place of its text in `docs`."""
+    n = nodes.count()
+    held = nodes.select("node", "size", F.explode("keys").alias("key"))
+    met = materialize(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-met")
+    members = materialize(held.join(met.hint("merge"), "key"), "near-members")
+    weights = materialize(members.groupBy("node").agg(F.sum("n").alias("weight")), "near-weights")
+    sets = _sets(docs, nodes, weights.select("node"))
+    pairs = _first_pairs(members, weights)
+    links = _links(pairs, sets)
+    groups = _groups(links, weights.select("node"), n)
+    centred, more = _more_pairs(members, weights, groups, sets)
+    more = materialize(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-more")
+    links = links.unionByName(centred).unionByName(_links(more, sets))
+    return _groups(materialize(links, "near-edges", n), nodes, n)
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
@@ -175,12 +315,13 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.mapInArrow(_node_batches, "doc_id BIGINT, k1 BIGINT, k2 BIGINT, node BIGINT, size BIGINT, bands ARRAY<BIGINT>")
+    rows = rows.mapInArrow(_node_batches, "doc_id BIGINT, k1 BIGINT, k2 BIGINT, node BIGINT, size BIGINT, keys ARRAY<BIGINT>")
     rows = materialize(rows, "near-rows")
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(least).alias("least"))
-    nodes = materialize(nodes, "near-nodes", rows.count())
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(least).alias("least"))
+    nodes = materialize(nodes, "near-nodes")
     groups = group_nodes(docs, nodes)
     keep = nodes.select("node", "least").join(groups, "node").groupBy("group").agg(F.min("least").alias("least")).select(*_place())
-    kept = _keyed(docs).join(materialize(keep, "near-keep", nodes.count()).hint("merge"), _KEY, "left_semi")
-    return with_length(kept.dropDuplicates(_KEY), docs)
+    kept = boxed(docs, **_row_key(F.col("doc_id"), F.col("text")))
+    kept = kept.join(materialize(keep, "near-keep", nodes.count()).hint("merge"), _KEY, "left_semi")
+    return unboxed(kept.dropDuplicates(_KEY), docs)

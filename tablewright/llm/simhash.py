@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import each_text, materialize, text_key, with_length, worker_cache
+from tablewright.llm.common import boxed, each_text, materialize, text_key, unboxed, worker_cache
 from tablewright.llm.components import connected_components
 
 WORDS = 3
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, width: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _syndromes(words: np.ndarray) -> np.ndarray:
+def syndromes(words: np.ndarray) -> np.ndarray:
     """Remainders of 23-bit words by the generator."""
     out = words.copy()
     for bit in range(22, 10, -1):
@@ -74,13 +74,13 @@ def codewords() -> np.ndarray:
     errors += [1 << i | 1 << j | 1 << k for i in range(23) for j in range(i) for k in range(j)]
     errors = np.array(errors, np.int64)
     table = np.full(2048, -1, np.int64)
-    table[_syndromes(errors)] = errors
+    table[syndromes(errors)] = errors
     return table
 
 
 def decode(words: np.ndarray) -> np.ndarray:
     """Codeword numbers, 0 to 4095, of 23-bit words."""
-    return (words ^ codewords()[_syndromes(words)]) >> 11
+    return (words ^ codewords()[syndromes(words)]) >> 11
 
 
 def probe_keys(words: np.ndarray, bits: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     # plain keys for join and dedup alike, so that texts are shuffled once
     plain = lambda col: F.coalesce(col, F.lit(-(1 << 63)))
     keep = named.groupBy("group").agg(F.min("least").alias("least"))
-    keep = keep.select(plain(F.col("least.doc_id")).alias("_near_id"), F.col("least.k1").alias("_near_k1"), F.col("least.k2").alias("_near_k2"))
-    keyed = docs.withColumns({"_near_id": plain(F.col("doc_id").cast("long")), "_near_k1": k1, "_near_k2": k2})
+    keep = keep.select(plain(F.col("least.doc_id")).alias("id"), F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2"))
+    keyed = boxed(docs, id=plain(F.col("doc_id").cast("long")), k1=k1, k2=k2)
     kept = keyed.join(materialize(keep, "simhash-keep", named.count()).hint("merge"), keep.columns, "left_semi")
-    return with_length(kept.dropDuplicates(keep.columns), docs)
+    return unboxed(kept.dropDuplicates(keep.columns), docs)

@@ -650,19 +650,151 @@ def test_pipeline_stages_against_brute_force(spark, small):
     rows = [r[:2] for r in held["line_dedup"]]
     assert {d for d, _ in rows} <= kept
     assert key((d, t) for d, _, _, t in lines_brute(rows)) == key(r[:2] for r in held["simhash_near_dedup"])
-    firsts = {c for _, _, c in near_brute([r[:2] for r in held["simhash_near_dedup"]])}
-    assert {r[0] for r in held["best_fit_packing"]} == firsts
+    # the stage's rule is the job's for stages on word shingles: five words, similarity of 0.8 or more
+    near = [r[:2] for r in held["simhash_near_dedup"]]
+    firsts = {}
+    for (doc, _), group in zip(near, jaccard_groups([t for _, t in near])):
+        firsts[group] = min(doc, firsts.get(group, doc))
+    assert {r[0] for r in held["best_fit_packing"]} == set(firsts.values())
     check_packing(docs.collect(), [r[:2] for r in held["best_fit_packing"]])
     assert key(map(tuple, pipeline.run(spark, small).collect())) == key(map(tuple, docs.collect()))
 
 
 def test_pipeline_takes_odd_rows(spark, small, odd, empty):
+    """Nulls, blanks, ties, repeated rows, long texts: each stage against brute force, an empty table stays empty."""
     import corpus_pipeline as pipeline
 
     from tablewright.llm.common import materialize
 
-    for start in (odd, empty):
-        docs = start
-        for name, stage in pipeline.STAGES:
-            docs = materialize(stage(spark, docs, small), f"odd-{name}")
-        assert docs.count() >= 0
+    held, docs = {}, odd
+    for name, stage in pipeline.STAGES:
+        held[name] = [(r.doc_id, r.text) for r in docs.collect()]
+        docs = materialize(stage(spark, docs, small), f"odd-{name}")
+    after = list(held.values())
+    verdicts = quality_brute([(r.doc_id, r.text, r.source) for r in odd.select("doc_id", "text", "source").collect()], 20, 0.08)
+    assert Counter(repr(d) for d, _ in after[1]) == Counter(repr(v[0]) for v in verdicts if v[7])
+    assert Counter(map(repr, after[2])) <= Counter(map(repr, after[1]))
+    assert key((d, t) for d, _, _, t in lines_brute(after[2])) == key(after[3])
+    least = {}
+    for (doc, _), group in zip(after[3], jaccard_groups([t for _, t in after[3]])):
+        least[group] = min((doc is None, doc or 0), least.get(group, (True, 0)))
+    assert sorted((d is None, d or 0) for d, _ in after[4]) == sorted(least.values())
+    assert docs.count() >= len(after[4]) > 20
+    docs = empty
+    for name, stage in pipeline.STAGES:
+        docs = materialize(stage(spark, docs, small), f"odd-{name}")
+        assert docs.count() == 0
+
+
+#: Every name that the operators give to columns of their own, now or before.
+INNER = (
+    "row host facts gone left lost_host lost_words k1 k2 id t1 t2 lines covered doc w1 w2 first last near_id near_k1 near_k2 node size keys key least "
+    "group a b score lost sha prefix keep_id slot shard _host _facts _lost_host _lost_gone _covered _doc_id _t1 _t2 _k1 _k2 _near_id _near_k1 _score _lost "
+    "_lost_k1 no_id n buckets label length piece start ids_crc32 _bucket _length _first _end sequence_id offset"
+).split()
+
+
+def test_users_columns_come_back_whatever_their_names(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    wide = docs.withColumns({x: F.concat(F.lit(f"{x}-"), "doc_id") for x in INNER} | {"with.dot": F.lit("d"), "with`tick": F.lit("t")})
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    stages = {
+        "rules": quality_rules.filter_documents,
+        "classifier": lambda d: quality_classifier.keep_good(d, labels),
+        "lines": line_dedup.dedup_lines,
+        "near": near_dedup.first_of_each_group,
+        "simhash": simhash.first_of_each_group,
+        "exact": exact_dedup.drop_duplicate_texts,
+    }
+    for name, stage in stages.items():
+        out = stage(wide)
+        assert out.columns == wide.columns, name
+        rows, plain = out.collect(), stage(docs).collect()
+        assert all(r[x] == f"{x}-{r.doc_id}" for r in rows for x in INNER) and {r["with`tick"] for r in rows} == {"t"}, name
+        assert key((r.doc_id, r.text, r.n_chars) for r in rows) == key((r.doc_id, r.text, r.n_chars) for r in plain), name
+    placed = sharding.place(wide, "doc_id", sharding.default_shards(5), 101)
+    assert placed.columns == [*wide.columns, "slot_", "shard_"]
+    assert all(r.slot == f"slot-{r.doc_id}" and 0 <= r.slot_ < 101 for r in placed.collect())
+    by_slot = sharding.place(docs.withColumnRenamed("doc_id", "slot"), "slot", sharding.default_shards(5), 101)
+    assert key((r.slot, r.slot_, r.shard) for r in by_slot.collect()) == key((r.doc_id, r.slot_, r.shard_) for r in placed.collect())
+
+
+def test_counts_of_nothing_are_zero_in_either_dialect(spark, odd):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        lines = line_dedup.line_dedup_report(odd).collect()
+        rules = quality_rules.quality_rules(odd).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert min(min(r.n_lines, r.n_removed) for r in lines) == 0 and min(r.frequent_lines for r in rules) == 0
+
+
+def variants(base, n, edits, rng):
+    for _ in range(n):
+        words = list(base)
+        for at in rng.choice(len(words), rng.integers(*edits), replace=False):
+            words[at] = f"e{rng.integers(0, 300)}"
+        yield " ".join(words)
+
+
+def test_dense_groups_and_their_outskirts(spark):
+    """Hundreds of copies of one text with few and with many edits: the groups of all pairs, from far fewer comparisons."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 160)]
+    texts = list(dict.fromkeys([*variants(base, 250, (1, 9), rng), *variants(base, 60, (6, 30), rng)]))
+    second = texts[280].split()
+    texts += [x for x in variants(second, 60, (0, 5), rng) if x not in texts]
+    texts += [" ".join(base[:n]) for n in (100, 118, 122, 126, 130, 134, 138)] + [" ".join(base + base[:n]) for n in (20, 45, 60)]
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    groups = jaccard_groups([t for _, t in rows])
+    firsts = {}
+    for (doc, _), g in zip(rows, groups):
+        firsts.setdefault(g, doc)
+    got = {r.doc_id for r in near_dedup.first_of_each_group(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    assert len(firsts) > 20
+    assert got == set(firsts.values())
+
+
+def test_long_prints_meet_by_similarity():
+    """Shares of pairs that share a key, by similarity; the recall that README states."""
+    rng = np.random.default_rng(2)
+
+    def met(size, similarity, n=150):
+        both = round(2 * similarity / (1 + similarity) * size)
+        found = 0
+        for _ in range(n):
+            h = rng.integers(0, 1 << 63, 2 * size - both, np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * size - both).astype(np.uint64)
+            two = [near_dedup.margins(np.sort(x)) for x in (h[:size], np.concatenate([h[:both], h[size:]]))]
+            a, b = near_dedup.golay_keys(np.stack(two))
+            found += bool(set(a) & set(b))
+        return found / n
+
+    assert met(60, 0.9) == met(400, 0.9) == 1.0
+    assert met(200, 0.8) >= 0.94 and met(200, 0.85) >= 0.98
+    assert met(200, 0.3) <= 0.02
+    one = near_dedup.golay_keys(near_dedup.margins(np.array([5], np.uint64))[None])
+    assert len(one[0]) == near_dedup.GROUPS * near_dedup.KEYS and max(one[0]) < near_dedup.GROUPS << 36
+
+
+def test_what_lies_beyond_a_centre_finds_every_similar_pair():
+    """The rule of `_beyond` on random sets: similar pairs share an early shingle outside the centre, or fit into it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    checked = 0
+    for _ in range(4000):
+        universe = np.sort(rng.choice(1 << 20, rng.integers(8, 60), replace=False)).astype(np.uint64)
+        draw = lambda share: universe[rng.random(len(universe)) < share]
+        c, x = draw(0.8), draw(0.85)
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], draw(0.05)]))
+        if not len(x) or not len(y) or not len(c):
+            continue
+        both = lambda a, b: len(np.intersect1d(a, b))
+        if not near_dedup.similar(both(x, y), len(x), len(y)) or near_dedup.similar(both(x, c), len(x), len(c)):
+            continue
+        sets = pa.array([x.tobytes(), y.tobytes()], pa.binary())
+        fx, fy = near_dedup._beyond(sets, pa.array([c.tobytes()] * 2, pa.binary())).to_pylist()
+        fits = 4 * (len(x) + len(y)) <= 9 * fx["both"] and 5 * fy["both"] >= 4 * len(y) and len(y) < len(c)
+        assert set(fx["beyond"]) & set(fy["beyond"]) or fits
+        checked += 1
+    assert checked > 300
