@@ -103,10 +103,3 @@ def unboxed(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> Dat
     if "n_chars" in docs.columns:
         rows = rows.select(F.col("row").withField("n_chars", F.length(F.col("row")["text"]).cast(docs.schema["n_chars"].dataType)).alias("row"))
     return rows.select("row.*")
-
-
-def with_length(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs` from `rows`, `n_chars` counted anew if there is such a column."""
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)

@@ -3,7 +3,8 @@
 Method. A document's lines that hold a word are trimmed and hashed; every three consecutive ones form a window
 (lines without a word neither count nor part others). A window found in more than one place of the corpus
 stays where it comes first, by (doc_id, line number); at every later place its three lines are covered. Covered
-positions are merged and removed. Documents of fewer than three such lines have no window and stay whole.
+positions are merged and removed. A window may overlap the first place of its like: of `z z z z` the second window
+covers lines two to four, so one `z` is left. Documents of fewer than three such lines have no window and stay whole.
 
 Scale. Lines travel as hashes. Places of a window are summed before the shuffle; the join that finds later places
 meets a stored table of repeated windows, so a window that a third of all documents hold is split. Only positions
@@ -11,8 +12,10 @@ travel back to the texts, and only documents that lose lines are rebuilt. Both j
 size: the tables that they meet grow with the corpus and are no candidates for a broadcast.
 
 Cases. Null text stays null and loses nothing. Repeated rows (same doc_id and text) are one place, so they do not
-remove each other's lines; all rows are returned. Null doc_ids come before all others. An empty table gives an empty
-result. Extra columns are kept by `dedup_lines` and left out of the report.
+remove each other's lines; all rows are returned. Null doc_ids come before all others; of places that tie in doc_id and
+line, that of the text with the smaller hash is first. A long text's work grows with its lines, its memory with
+its length. An empty table gives an empty result. Extra columns, whatever their names, are kept by `dedup_lines` and
+left out of the report.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANKS, materialize, text_key, with_length
+from tablewright.llm.common import BLANKS, boxed, materialize, text_key, unboxed
 
 WINDOW = 3
 
@@ -62,33 +65,37 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_covered(docs: DataFrame) -> DataFrame:
-    """`docs` and `_covered`, the places to remove (null: none)."""
-    gone = covered_lines(docs)
-    gone = gone.select(*(F.col(x).alias(f"_{x}") for x in gone.columns))
+    """`row`, all columns of `docs`, `covered`, the places to remove (null: none), and the `lines` of a text that loses some."""
     k1, k2 = text_key(F.col("text"))
-    rows = docs.withColumns({"_t1": k1, "_t2": k2})
-    same = (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")) & rows["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
-    return rows.join(gone.hint("merge"), same, "left")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), t1=k1, t2=k2)
+    same = (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    rows = rows.join(covered_lines(docs).hint("merge"), same, "left").select("row", "covered")
+    return rows.withColumn("lines", F.when(F.col("covered").isNotNull(), F.split(F.col("row")["text"], "\n", -1)))
 
 
-def _left(text: Column, covered: Column) -> Column:
-    """The text without the covered lines."""
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(covered, i))
-    return F.when(covered.isNull(), text).otherwise(F.array_join(kept, "\n"))
+def _left(text: Column) -> Column:
+    """The text without the covered lines: places that are left, in order, then their lines."""
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered")
+    return F.when(F.col("covered").isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n"))
+
+
+def _count(found: Column) -> Column:
+    """Members of an array, 0 for null in any dialect."""
+    return F.coalesce(F.when(found.isNotNull(), F.size(found)), F.lit(0)).cast("long")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages removed from `text`; all rows and columns stay."""
     rows = _with_covered(docs)
-    return with_length(rows.withColumn("text", _left(F.col("text"), F.col("_covered"))), docs)
+    return unboxed(rows.select(F.col("row"), _left(F.col("row")["text"]).alias("left")), docs, F.col("left"))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """One row for each document: lines, lines removed, and the text that is left."""
-    rows = _with_covered(docs.select("doc_id", "text"))
-    return rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"),
-        _left(F.col("text"), F.col("_covered")).alias("text"),
+    text = F.col("row")["text"]
+    return _with_covered(docs.select("doc_id", "text")).select(
+        F.col("row")["doc_id"].cast("long").alias("doc_id"),
+        _count(F.split(text, "\n", -1)).alias("n_lines"),
+        _count(F.col("covered")).alias("n_removed"),
+        _left(text).alias("text"),
     )

@@ -12,7 +12,8 @@ every score is 0.5.
 
 Cases. Null text counts as empty; a text without words scores by the bias alone. Null labels and null doc_ids
 in `labels` are left out; repeated labels count once, the larger one. Repeated documents are scored one by one. An
-empty table gives an empty result. Extra columns are ignored.
+empty table gives an empty result. Extra columns, whatever their names, are ignored by `classify` and kept by
+`keep_good`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import each_text, worker_cache
+from tablewright.llm.common import boxed, each_text, unboxed, worker_cache
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -196,4 +197,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score `threshold` or more; all columns stay."""
     score = score_column(docs.sparkSession, fit(docs, labels), F.col("text"))
-    return docs.withColumn("_score", score).where(F.col("_score") >= threshold).drop("_score")
+    return unboxed(boxed(docs, score=score).where(F.col("score") >= threshold), docs)

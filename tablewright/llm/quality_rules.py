@@ -8,7 +8,8 @@ lost lines and under `min_left` of its words are left.
 
 Cases. Null text counts as empty: no words, so the base rules reject it. Null source is a host of its own.
 Repeated rows (same host and text) form one class and share its verdict; every input row is returned. An empty
-table gives an empty result. Extra columns, also ones named like results, are ignored.
+table gives an empty result. Very long texts are measured whole, a slice of a batch at a time. Extra columns, whatever
+their names, are ignored by `quality_rules` and kept by `filter_documents`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANKS, each_text, materialize, with_length, worker_cache
+from tablewright.llm.common import BLANKS, boxed, each_text, materialize, unboxed, worker_cache
 
 MIN_WORDS = 50
 MIN_DOCS = 20
@@ -175,7 +176,7 @@ def quality_rules(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ~_depleted(F.col("n_words"), lost_words, min_left)).alias("kept"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("frequent_lines"),
+        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("frequent_lines"),
         lost_words.cast("long").alias("frequent_words"),
     )
 
@@ -201,12 +202,13 @@ def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: floa
     """The documents that the rules keep, without the lines over the limit; the columns of `docs` stay."""
     lost = lines_lost(measured(docs), STAGE_MIN_DOCS, STAGE_MAX_SHARE, STAGE_MAX_DOCS)
     facts = F.arrow_udf(_row_facts, "struct<k1: bigint, k2: bigint, words: bigint, repeat: bigint>").asNondeterministic()  # evaluated once
-    rows = docs.withColumns({"_host": _host(), "_facts": facts(F.coalesce("text", F.lit("")))})
-    rows = rows.where(~_base_failed(F.col("_facts.words"), F.col("_facts.repeat"), min_words))
-    lost = lost.select(*(F.col(x).alias(f"_lost_{x}") for x in lost.columns))
-    same = (F.col("_host") == F.col("_lost_host")) & (F.col("_facts.k1") == F.col("_lost_k1")) & (F.col("_facts.k2") == F.col("_lost_k2"))
+    rows = boxed(docs, host=_host(), facts=facts(F.coalesce("text", F.lit(""))))
+    rows = rows.where(~_base_failed(F.col("facts.words"), F.col("facts.repeat"), min_words))
+    lost = lost.withColumnRenamed("host", "lost_host")
+    same = (F.col("host") == F.col("lost_host")) & (F.col("facts.k1") == F.col("k1")) & (F.col("facts.k2") == F.col("k2"))
     rows = rows.join(lost.hint("merge"), same, "left")  # it grows with the corpus: no candidate for a broadcast
-    rows = rows.where(~_depleted(F.col("_facts.words"), F.coalesce("_lost_lost_words", F.lit(0)), min_left))
-    clean = F.arrow_udf(_without_lines, "string")(F.col("text"), F.col("_lost_gone"))
-    rows = rows.withColumn("text", F.when(F.col("_lost_gone").isNull(), F.col("text")).otherwise(clean))
-    return with_length(rows, docs)
+    rows = rows.where(~_depleted(F.col("facts.words"), F.coalesce("lost_words", F.lit(0)), min_left))
+    text = F.col("row")["text"]
+    clean = F.arrow_udf(_without_lines, "string")(text, F.col("gone"))
+    rows = rows.select("row", F.when(F.col("gone").isNull(), text).otherwise(clean).alias("left"))
+    return unboxed(rows, docs, F.col("left"))

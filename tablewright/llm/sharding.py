@@ -7,7 +7,8 @@ The table has a fixed number of slots, so it is broadcast whatever the data's si
 its key modulo the table's size, its shard one lookup.
 
 Cases. A null key is hashed as a key of its own. Repeated rows go to the same shard. An empty table gives an empty
-result. Only the key column is read.
+result. Only the key column is read; texts are not. Columns of the user's that are named slot or shard stay, and the new
+ones get as many underscores behind their names as are needed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import boxed
+
 SLOTS = 65_537
 SHARDS = 64
 
@@ -56,11 +59,19 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\x00null"))), F.lit(slots)).cast("int")
 
 
+def _free_name(name: str, rows: DataFrame) -> str:
+    while name in {x.lower() for x in rows.columns}:
+        name += "_"
+    return name
+
+
 def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """`rows` with `slot` and `shard`: a broadcast of `slots` small rows, no shuffle."""
+    slot, shard = (_free_name(x, rows) for x in ("slot", "shard"))
     table = lookup_table(shards, slots)
     lookup = rows.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], "slot INT, shard STRING")
-    return rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(lookup), "slot")
+    placed = boxed(rows, slot=slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(lookup), "slot")
+    return placed.select("row.*", F.col("slot").alias(slot), F.col("shard").alias(shard))
 
 
 def default_shards(n: int = SHARDS) -> list[str]:
