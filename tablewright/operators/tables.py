@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.sources.scratch import store
+
 
 def toggle(rows: DataFrame, flag: str, chosen: Column) -> DataFrame:
     return rows.withColumn(flag, F.when(chosen, ~F.col(flag)).otherwise(F.col(flag)))
@@ -45,24 +47,27 @@ def flagged(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, partition: list[str] | None = None, start: int = 1) -> DataFrame:
-    """Place of each row in an order. Without a partition, places come from a range sort and per-block counts.
+    """Place of each row in an order, as the column `name`, which replaces one of that name. Ties get any places.
 
-    A window without a partition would bring all rows to one task; here a block's places follow the rows of the
-    blocks before it, and only one count for each block meets on the driver.
+    Without a partition, places come from a range sort and per-block counts: a window without a partition would
+    bring all rows to one task. Ranges are sampled anew whenever a plan is evaluated, so the dealt rows are stored once, and
+    both the counts and the places come from what is stored. One count for each block meets on the driver.
     """
     if partition:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1 + start)
     spark = rows.sparkSession
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumns({"_block": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    sizes = dict(dealt.groupBy("_block").count().collect())  # one row for each block
+    dealt = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    dealt = store(dealt.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+    block, nth = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     before, total = [], 0
-    for block in sorted(sizes):
-        before.append((block, total))
-        total += sizes[block]
-    offsets = spark.createDataFrame(before, "_block LONG, _before LONG")
-    return dealt.join(F.broadcast(offsets), "_block").withColumn(name, F.col("_before") + F.col("_nth") + start).drop("_at", "_block", "_nth", "_before")
+    for number, size in sorted(dealt.groupBy(block.alias("block")).count().collect()):  # one row for each block
+        before.append((number, total))
+        total += size
+    offsets = spark.createDataFrame(before, "block LONG, before LONG")
+    placed = dealt.join(F.broadcast(offsets), block == F.col("block"))
+    kept = [c for c in rows.columns if c.lower() != name.lower()]
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in kept), (F.col("before") + nth + start).alias(name))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
@@ -87,3 +92,18 @@ def running_total(rows: DataFrame, value: str, partition: list[str], order: list
 def last_n(rows: DataFrame, n: int, partition: list[str], order: list[Column]) -> DataFrame:
     """The first n rows of each partition in `order`."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def except_all(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of `a` as often as they are left when those of `b` are taken away one by one."""
+    return a.exceptAll(b)
+
+
+def intersect_all(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both, as often as in the one that has fewer."""
+    return a.intersectAll(b)
+
+
+def low_stock(listed: DataFrame, stock: DataFrame, key: str, amount: str, limit: float) -> DataFrame:
+    """The listed keys of which less than `limit` is in stock; keys that the stock lacks are left out."""
+    return listed.select(key).distinct().join(stock.select(key, amount), key).where(F.col(amount) < limit)

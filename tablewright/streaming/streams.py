@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.sources.readers import table
+from tablewright.sources.scratch import new_place
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names; tests may fall back to a local one."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        place = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one that spark.checkpoint.dir names."""
+    return new_place(spark, "stream")
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +55,9 @@ def window_counts(events: DataFrame, width: str = "1 hour", slide: str | None =
 def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     """State by key: how many and how much so far."""
     return events.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+
+
+def session_counts(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of each key: runs of events with less than `gap` between neighbours. Batch, or a stream in append mode."""
+    out = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n")
