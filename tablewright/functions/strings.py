@@ -68,3 +68,31 @@ def query_string(parameters: Column) -> Column:
 
 def extension(name: Column) -> Column:
     return F.element_at(split_literal(name, "."), -1)
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """A number with so many decimals, always."""
+    return F.format_string(f"%.{digits}f", number.cast("double"))
+
+
+def thousands(number: Column, digits: int = 0) -> Column:
+    """A number with commas between thousands and so many decimals."""
+    return F.format_string(f"%,.{digits}f", number.cast("double"))
+
+
+def email_parts(address: Column) -> tuple[Column, Column]:
+    """What stands before and behind the last @; both null without one."""
+    whole = address.rlike(r"^.+@.+\z")
+    return F.when(whole, F.regexp_extract(address, "^(.*)@", 1)), F.when(whole, F.substring_index(address, "@", -1))
+
+
+def minutes_of_day(clock: Column) -> Column:
+    """Minutes from midnight of a time of day as H:mm; anything else is null."""
+    ok = clock.rlike(r"^([01]?[0-9]|2[0-3]):[0-5][0-9]\z")
+    part = lambda i: F.split_part(clock, F.lit(":"), F.lit(i)).try_cast("int")
+    return F.when(ok, part(1) * 60 + part(2))
+
+
+def clock_time(minutes: Column) -> Column:
+    """Minutes from midnight as H:mm, hours without a leading zero."""
+    return F.concat(F.floor(minutes / 60).cast("string"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))

@@ -61,6 +61,11 @@ def username_like(value: Column) -> Column:
     return _sure((F.length(value) >= 3) & value.rlike(r"^[A-Za-z0-9]+\z"))
 
 
+def password_like(value: Column) -> Column:
+    """Eight characters or more."""
+    return _sure(F.length(value) >= 8)
+
+
 def positive_number(text: Column) -> Column:
     """The number that a text holds if it is above zero, else null."""
     number = F.when(text.rlike(r"^[ ]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)[ ]*\z"), text).try_cast("double")

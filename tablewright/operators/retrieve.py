@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.sources.scratch import store
+
 K1, B = 1.2, 0.75
-#: Query vectors that are scored together.
-BLOCK = 1024
+#: Vectors of a block on either side; a pair of blocks is scored at once.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
 def normal_query(text: Column) -> Column:
@@ -31,41 +33,45 @@ def _top(rows: DataFrame, k: int, by: list[Column]) -> DataFrame:
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine top-k of a stated query set against all vectors, itself left out.
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows (key, vector) as blocks of `size` at most: ids and unit vectors as bytes."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                ids = np.array(part.column(0).to_pylist(), np.int64)
+                vectors = np.array(part.column(1).to_pylist(), np.float64)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["ids", "vectors"])
+
+    return rows.select(F.col(key).cast("long").alias("id"), "vector").where("id IS NOT NULL AND vector IS NOT NULL").mapInArrow(batches, "ids BINARY, vectors BINARY")
+
 
-    `queries` (query_id, vector) come to the driver in blocks; each block is scored against a batch of vectors by one
-    matrix product, and every batch sends k rows for each query to the shuffle at most.
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, skip_self: bool = True) -> DataFrame:
+    """(query_id, id, score, rank): exact cosine top-k of a stated query set against all vectors; `skip_self`: but for its own id.
+
+    Both sides are packed into stored blocks; a pair of blocks is one matrix product and sends k rows for each query to the
+    shuffle at most. Nothing comes to the driver; Spark broadcasts a side only if its size is below its threshold.
     """
-    found = None
-    ids = sorted(r[0] for r in queries.select("query_id").toLocalIterator())
-    for at in range(0, len(ids), BLOCK):
-        block = queries.where(F.col("query_id").between(ids[at], ids[min(at + BLOCK, len(ids)) - 1])).collect()
-        part = vectors.select("id", "vector").mapInArrow(_scorer(block, k), "query_id BIGINT, id BIGINT, score DOUBLE")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id LONG, id LONG, score DOUBLE, rank LONG")
+    left = store(_blocks(queries, "query_id", QUERY_BLOCK), "query-blocks").toDF("q_ids", "q_vectors")
+    right = store(_blocks(vectors, "id", VECTOR_BLOCK), "vector-blocks")
+    found = right.crossJoin(left).mapInArrow(_scorer(k, skip_self), "query_id BIGINT, id BIGINT, score DOUBLE")
     return _top(found, k, [F.desc("score"), F.asc("id")])
 
 
-def _scorer(block: list, k: int):
-    names = np.array([r[0] for r in block], np.int64)
-    left = np.array([r[1] for r in block], np.float64)
-    left /= np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-300)
-
+def _scorer(k: int, skip_self: bool):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy()
-            right = np.array(batch.column("vector").to_pylist(), np.float64)
-            right /= np.maximum(np.linalg.norm(right, axis=1, keepdims=True), 1e-300)
-            scores = np.round(left @ right.T, 6)
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            q, s = np.repeat(names, order.shape[1]), np.take_along_axis(scores, order, 1).ravel()
-            real = s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(ids[order].ravel()[real]), pa.array(s[real])], ["query_id", "id", "score"])
+            for row in range(batch.num_rows):
+                ids, right, names, left = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ids", np.int64), ("vectors", np.float64), ("q_ids", np.int64), ("q_vectors", np.float64)))
+                scores = np.round(left.reshape(len(names), -1) @ right.reshape(len(ids), -1).T, 6)
+                if skip_self:
+                    scores[names[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                q, s = np.repeat(names, order.shape[1]), np.take_along_axis(scores, order, 1).ravel()
+                real = s > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(ids[order].ravel()[real]), pa.array(s[real])], ["query_id", "id", "score"])
 
     return batches
 
@@ -76,18 +82,24 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(found).alias("term"))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda t: t != "")
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank). `queries` (query_id, text), `docs` (id, text).
 
-    Only postings of query terms are scored; document frequencies and lengths are over all documents.
+    Only postings of query terms are shuffled and scored, each with its document's length beside it; document
+    frequencies and lengths are over all documents. Lengths are summed by a scan that shuffles one row of each task.
     """
-    words = terms(docs, "id", "text")
     asked = terms(queries, "query_id", "text").distinct()
-    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    lengths = words.groupBy("id").agg(F.count("*").alias("dl"))
-    corpus = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("total")))  # one row each
+    words = docs.select("id", _words(F.col("text")).alias("words"))
+    spread = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    tf = spread.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = store(tf, "postings")
+    corpus = words.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(lengths, "id").join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus))  # one row
+    rows = tf.join(df.join(asked, "term"), "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("total") / F.col("n")))
     scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
@@ -107,10 +119,9 @@ def fused(dense: DataFrame, sparse: DataFrame, weight: float = 0.5, k: int = 5)
     return _top(both.select("query_id", "id", F.round(score, 6).alias("score")), k, [F.desc("score"), F.asc("id")])
 
 
-def context(hits: DataFrame, docs: DataFrame, chars: int | None = None) -> DataFrame:
-    """(query_id, context): hits in rank order, each with its citation, whole or its first `chars` characters."""
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    rows = hits.join(docs, "id").select("query_id", "rank", F.concat(F.lit("["), "id", F.lit("] "), text).alias("c"))
+def context(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, context): hits in rank order, whole, each with its citation."""
+    rows = hits.join(docs, "id").select("query_id", "rank", F.concat(F.lit("["), "id", F.lit("] "), "text").alias("c"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"])
     return rows.groupBy("query_id").agg(F.array_join(ordered, "\n").alias("context"))
 
@@ -124,3 +135,22 @@ def grounded(answer: Column, source: Column, limit: float, fallback: str) -> tup
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda t: t != ""))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect(words(answer), words(source))), F.size(words(answer))), F.lit(0.0))
     return share, F.when(share < limit, F.lit(fallback)).otherwise(answer)
+
+
+#: Words that stand for something named before.
+PRONOUNS = ("it", "its", "that", "this", "they", "them")
+
+
+def clarified(question: Column, before: Column, topic: Column | None = None) -> tuple[Column, Column]:
+    """A follow-up question with its pronouns resolved, and whether to ask back first.
+
+    A question that holds a pronoun gets the topic of the turn before behind it, by default that turn's longest word (the
+    first of equals); without such a turn it is ambiguous.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+"), lambda t: t != "")
+    vague = F.arrays_overlap(words(question), F.array(*map(F.lit, PRONOUNS)))
+    if topic is None:
+        longest = F.array_max(F.transform(words(before), lambda w, i: F.struct(F.length(w), -i, w.alias("w"))))
+        topic = F.coalesce(longest["w"], F.lit(""))
+    known = topic != ""
+    return F.when(vague & known, F.concat(question, F.lit(" ("), topic, F.lit(")"))).otherwise(question), vague & ~known

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is no page text.
@@ -34,14 +37,22 @@ def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def fixed_chunks(docs: DataFrame, key: str, text: str, size: int = 100, overlap: int = 20) -> DataFrame:
-    """(key, chunk_index, chunk): `size` characters every `size - overlap`; the last may be shorter."""
+    """(key, chunk_index, chunk): `size` characters every `size - overlap`; the last may be shorter.
+
+    A text is cut into steps in one pass, and a chunk is put together from the steps that it spans, so the work
+    grows with the text and not with its square.
+    """
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be from 0 to below the size")
     step = size - overlap
     value = F.coalesce(F.col(text), F.lit(""))
-    n = F.greatest(F.lit(1), F.ceil((F.length(value) - overlap) / F.lit(step))).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(value, i * step + 1, F.lit(size)))
-    return docs.select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
+    rows = docs.select(
+        key, F.greatest(F.lit(1), F.ceil((F.length(value) - overlap) / F.lit(step))).cast("int").alias("_n"),
+        F.regexp_extract_all(value, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_steps"),
+    )
+    span = -(-size // step)
+    piece = lambda i: F.substring(F.array_join(F.slice("_steps", i + 1, F.lit(span)), ""), 1, size)
+    return rows.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), piece)).alias("chunk_index", "chunk"))
 
 
 def sentences(text: Column) -> Column:
@@ -101,29 +112,46 @@ def recursive_chunks(docs: DataFrame, key: str, text: str, size: int = 150, over
     return rows.select(key, F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
-def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """Counts of hashed words: a stand-in vector where no embedding model is at hand."""
-    slots = F.transform(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+def letter_vector(text: Column) -> Column:
+    """How often each letter a to z occurs: a stand-in vector where no embedding model is at hand."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*(F.regexp_count(lower, F.lit(c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+
 
+def join_alike(parts: list[str], percentile: float = 0.9, dims: int = 64) -> list[str]:
+    """Neighbours joined until the distance to the next is above the `percentile` of all distances, linearly interpolated.
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.try_divide(dot, norm(a) * norm(b))
+    A part's vector counts its hashed words; the distance of a part without words is 1.
+    """
+    if len(parts) < 2:
+        return list(parts)
+    vectors = np.zeros((len(parts), dims))
+    for i, part in enumerate(parts):
+        for word in re.findall("[a-z0-9]+", part.lower()):
+            vectors[i, zlib.crc32(word.encode()) % dims] += 1
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    dots, both = (vectors[:-1] * vectors[1:]).sum(axis=1), norms[:-1] * norms[1:]
+    apart = 1 - np.divide(dots, both, out=np.zeros(len(dots)), where=both > 0)
+    breaks = apart > np.quantile(apart, percentile)
+    out, held = [], [parts[0]]
+    for part, new in zip(parts[1:], breaks):
+        if new:
+            out.append(" ".join(held))
+            held = []
+        held.append(part)
+    return [*out, " ".join(held)]
 
 
 def semantic_chunks(docs: DataFrame, key: str, text: str, percentile: float = 0.9) -> DataFrame:
-    """Sentences are joined until the distance to the next one is above the document's percentile of distances."""
-    by = Window.partitionBy(key).orderBy("chunk_index")
-    rows = sentence_chunks(docs, key, text).withColumn("_v", hashed_vector(F.col("chunk")))
-    rows = rows.withColumn("_d", 1 - F.coalesce(cosine(F.lag("_v").over(by), F.col("_v")), F.lit(0.0))).drop("_v")
-    rows = rows.withColumn("_d", F.when(F.col("chunk_index") > 0, F.col("_d")))
-    limits = rows.groupBy(key).agg(F.percentile("_d", F.lit(percentile)).alias("_limit"))
-    rows = rows.join(limits, key).withColumn("_break", F.coalesce((F.col("_d") > F.col("_limit")).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_group", F.sum("_break").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"])
-    return rows.groupBy(key, F.col("_group").cast("int").alias("chunk_index")).agg(F.array_join(ordered, " ").alias("chunk"))
+    """(key, chunk_index, chunk): sentences joined by `join_alike`, row by row, in one Arrow pass without a shuffle."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [join_alike(x.as_py(), percentile) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "chunks"])
+
+    rows = docs.select(F.col(key).cast("long").alias(key), sentences(F.col(text)).alias("parts"))
+    return rows.mapInArrow(batches, f"{key} BIGINT, chunks ARRAY<STRING>").select(key, F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
 def parent_chunks(docs: DataFrame, key: str, text: str, parent: int = 800, child: int = 200) -> DataFrame:

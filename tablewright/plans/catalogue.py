@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import records, scalars, texts
+from tablewright.plans import extras, records, scalars, texts
 from tablewright.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "records", "scalars", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extras", "records", "scalars", "texts"]

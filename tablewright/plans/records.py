@@ -120,11 +120,12 @@ def catalog_insert(nation: DataFrame, region: DataFrame) -> DataFrame:
 
 
 @query("part", sql="""
-SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) AS number, n FROM (SELECT p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand)""")
+SELECT dense_rank() OVER (ORDER BY p_brand) AS number, p_brand, p_partkey, p_name, p_size FROM part WHERE p_size > 10""")
 def catalog_export(part: DataFrame) -> DataFrame:
-    """Rows of a subset by category, categories numbered by name."""
-    rows = part.where("p_size > 10").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return R.numbered(rows, [C("p_brand")], "number")
+    """The rows of a subset, each with the number of its category; categories are numbered by name."""
+    rows = part.where("p_size > 10")
+    numbers = R.numbered(rows.select("p_brand").distinct(), [C("p_brand")], "number")
+    return rows.join(numbers, "p_brand").select("number", "p_brand", "p_partkey", "p_name", "p_size")
 
 
 @query("lineitem", "part", sql="""

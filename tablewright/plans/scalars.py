@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions import containers as B
 from tablewright.functions import numbers as N
 from tablewright.functions import strings as S
 from tablewright.operators import predicates as P
@@ -139,14 +140,15 @@ def array_functions(embeddings: DataFrame) -> DataFrame:
 
 
 @query("supplier", sql="""
-SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN 2 ELSE 1 END AS kept, 'b' AS right_wins, s_nationkey AS nested, s_nationkey + 1 AS updated, s_suppkey % 2 = 0 AS has_key FROM supplier""")
+SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN 2 ELSE 1 END AS kept, CASE WHEN s_nationkey < 12 THEN 'right ' || s_suppkey ELSE s_name END AS right_wins, CASE WHEN s_nationkey < 12 THEN 2 ELSE 3 END AS merged_keys, s_nationkey AS nested, s_nationkey + 1 AS updated, s_suppkey % 2 = 0 AS has_key FROM supplier""")
 def record_functions(supplier: DataFrame) -> DataFrame:
     """Maps and structs: filter, merge with the right winning, nested read and update, key tests."""
     m = F.create_map(F.lit("x"), C("s_nationkey"), F.lit("y"), F.lit(1))
-    merged = F.map_from_entries(F.array(F.struct(F.lit("k"), F.coalesce(F.lit("b"), F.lit("a")))))
+    right = F.when(C("s_nationkey") < 12, F.create_map(F.lit("name"), F.concat(F.lit("right "), "s_suppkey"))).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    merged = B.merged(F.create_map(F.lit("name"), "s_name", F.lit("nation"), C("s_nationkey").cast("string")), right)
     nested = F.struct(F.struct(C("s_nationkey").alias("nation")).alias("at"))
     return supplier.select("s_suppkey", m.alias("m"), merged.alias("r"), nested.alias("n")).select(
-        "s_suppkey", F.size(F.map_filter("m", lambda k, v: v < 12)).cast("long").alias("kept"), F.try_element_at("r", F.lit("k")).alias("right_wins"),
+        "s_suppkey", F.size(F.map_filter("m", lambda k, v: v < 12)).cast("long").alias("kept"), F.try_element_at("r", F.lit("name")).alias("right_wins"), F.size("r").cast("long").alias("merged_keys"),
         C("n.at.nation").alias("nested"), C("n").withField("at.nation", C("n.at.nation") + 1)["at"]["nation"].alias("updated"),
         F.map_contains_key(F.when(C("s_suppkey") % 2 == 0, F.create_map(F.lit("k"), F.lit(1))).otherwise(F.create_map(F.lit("z"), F.lit(1))), "k").alias("has_key"),
     )

@@ -1,6 +1,10 @@
-"""Every catalogue query against its SQL on the smallest tables."""
+"""Every catalogue query against its SQL, on the smallest tables and on the next larger ones."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -10,14 +14,31 @@ from tablewright.plans.catalogue import ORACLE_SQL, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck(small):
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def connect(folder):
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{small}/{name}.parquet')")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck(small):
+    return connect(small)
+
+
+@pytest.fixture(scope="module")
+def larger(small):
+    return small.replace("sf0.001", "sf0.01")
+
+
+@pytest.fixture(scope="module")
+def larger_duck(larger):
+    return connect(larger)
+
+
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6) + 0.0
@@ -28,6 +49,15 @@ def plain(value):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, small, name):
+    holds(spark, duck, small, name)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql_on_larger_tables(spark, larger_duck, larger, name):
+    holds(spark, larger_duck, larger, name)
+
+
+def holds(spark, duck, small, name):
     result = QUERIES[name](spark, small)
     rows = result.collect()
     columns = sorted(result.columns)
@@ -41,7 +71,7 @@ def test_query_equals_sql(spark, duck, small, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in rows) == wanted
 
 
-def test_entry_works_without_the_corpus_operators(spark, small):
+def test_entry_has_the_catalogue(spark, small):
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries())
@@ -49,6 +79,17 @@ def test_entry_works_without_the_corpus_operators(spark, small):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    """A copy without the corpus operators, the pipeline and their tests still imports and knows the catalogue."""
+    gone = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=gone)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(x.startswith('op1_') for x in e.queries()), 'pipeline' in e.queries())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL)), "False", "False"], said.stderr
+    assert not any("tablewright.llm" in open(os.path.join(d, f)).read() for d, _, fs in os.walk(tmp_path / "copy" / "tablewright") for f in fs if f.endswith(".py"))
+
+
 def test_every_document_has_chunk_records(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = QUERIES["all_chunk_records"](spark, small)
