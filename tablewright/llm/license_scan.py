@@ -1,12 +1,13 @@
 """License scans: phrase places, and template markup compiled into token automata.
 
-Method. A template is a license wording in which `<<beginOptional>>...<<endOptional>>` marks what may be
-missing and `<<var;max=N>>` what may be replaced by up to N words. It compiles into an automaton over words; a
-place of a text is accepted if the automaton, started there, reads words up to its end, that is if the
-mandatory wording stands there exactly. An automaton is only started where the text holds the template's
-longest mandatory run of words, which no accepted place can lack.
-
-Cases. Null text counts as empty: no words, null places, empty labels, score 0. Repeated rows are scored one by
+Method. A template (`licenses`) is a whole licence text, its notice, or a statement that names it, in which
+`<<beginOptional>>...<<endOptional>>` marks what may be missing and `<<var;max=N>>` what may be replaced by one to N words. It
+compiles into an automaton over words; a place of a text is accepted if the automaton, started there, reads words up to
+its end, that is if the mandatory wording stands there exactly and whole: a grant that goes on in other words is not
+the licence. An automaton is only started where the text holds the template's longest mandatory run of words, which
+no accepted place can lack.
+
+Cases. A long text is scanned whole; its words are split once, and only if a template's longest run is in it. Null text counts as empty: no words, null places, empty labels, score 0. Repeated rows are scored one by
 one. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -22,38 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import each_text
+from tablewright.llm.licenses import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, then wording in template markup.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-     "associated documentation files the software to deal in the software without restriction including without "
-     "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2.0", "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 0"),
-    ("apache-2.0", "you may not use this <<var;max=4>> except in compliance with the license"),
-    ("gpl-2.0", "licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>gnu<<endOptional>> general public license version 2"),
-    ("gpl-3.0", "licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>gnu<<endOptional>> general public license version 3"),
-    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl-3.0", "gnu affero general public license"),
-    ("cc-by-4.0", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by <<beginOptional>>international<<endOptional>> 4 0"),
-    ("cc-by-4.0", "creative commons attribution 4 0 international <<beginOptional>>public<<endOptional>> license"),
-    ("cc-by-sa-4.0", "licensed under <<beginOptional>>creative commons<<endOptional>> cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under <<beginOptional>>creative commons<<endOptional>> cc by nc 4 0"),
-    ("cc-by-nd-4.0", "licensed under <<beginOptional>>creative commons<<endOptional>> cc by nd 4 0"),
-    ("cc0-1.0", "<<beginOptional>>creative commons<<endOptional>> cc0 1 0 <<beginOptional>>universal<<endOptional>>"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3-clause", "neither the name of <<var;max=12>> nor the names of its contributors may be used to endorse or "
-     "promote products derived from this software without specific prior written permission"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("notice", "copyright <<beginOptional>>c<<endOptional>> <<var;max=8>> all rights reserved"),
-)
-
 #: A-Z to a-z; every other ASCII character that no word holds to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -93,11 +67,11 @@ class Automaton:
             at += 1
 
 
-_MARKS = re.compile(r"<<(beginOptional|endOptional|var;max=\d+)>>")
+_MARKS = re.compile(r"<<(beginOptional|endOptional|var;(?:min=0;)?max=\d+)>>")
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    """An optional region leaves its entry states live after it; a replaceable one adds up to N free words."""
+    """An optional region leaves its entry states live after it; a replaceable one adds one to N free words, or none to N."""
     auto, ends, entries = Automaton(label), {0}, []
     before = 0
     run, run_before = [], 0
@@ -127,12 +101,16 @@ def compile_template(label: str, markup: str) -> Automaton:
             ends = ends | entries.pop()
         else:
             close()
+            skip = ends if "min=0" in part else set()
+            last, reached = ends, set()
             for _ in range(int(part.rpartition("=")[2])):
                 state = auto.new()
-                for s in ends:
+                for s in last:
                     auto.free[s].add(state)
-                ends = ends | {state}
+                last = {state}
+                reached.add(state)
                 before += 1
+            ends = skip | reached
     close()
     if entries:
         raise ValueError(f"{label}: an optional region has no end")

@@ -156,13 +156,13 @@ def license_brute(text):
 
 
 def template_regex(markup):
-    parts = re.split(r"<<(beginOptional|endOptional|var;max=\d+)>>", markup)
+    parts = re.split(r"<<(beginOptional|endOptional|var;(?:min=0;)?max=\d+)>>", markup)
     out = ""
     for i, part in enumerate(parts):
         if i % 2 == 0:
             out += "".join(f"{re.escape(w)} " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part.translate(LOWER)))
         else:
-            out += {"beginOptional": "(?:", "endOptional": ")?"}.get(part) or f"(?:\\S+ ){{0,{part.partition('=')[2]}}}"
+            out += {"beginOptional": "(?:", "endOptional": ")?"}.get(part) or f"(?:\\S+ ){{{0 if 'min=0' in part else 1},{part.rpartition('=')[2]}}}"
     return re.compile(f"(?<!\\S){out}")
 
 
@@ -187,6 +187,54 @@ def test_license_scan(spark, odd, empty, docs):
             assert (*base, ",".join(sorted(labels))) in got[doc]
 
 
+def readings(markup):
+    """A short text of a template, every replaceable region one word, and the longest, as (word, is it mandatory)."""
+    parts = re.split(r"<<(beginOptional|endOptional|var;(?:min=0;)?max=\d+)>>", markup)
+    short, long, depth = [], [], 0
+    for i, part in enumerate(parts):
+        if i % 2 == 0:
+            words = [(w, True) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part.translate(LOWER))]
+            long += [(w, not depth) for w, _ in words]
+            short += [] if depth else words
+        elif part.startswith("var"):
+            long += [(f"free{k}", False) for k in range(int(part.rpartition("=")[2]))]
+            short += [("free", False)] if not depth else []
+        else:
+            depth += 1 if part == "beginOptional" else -1
+    return short, long
+
+
+@pytest.mark.parametrize("template", license_scan.TEMPLATES, ids=lambda t: f"{t[0]}-{len(t[1])}")
+def test_altered_mandatory_wording_is_rejected(template):
+    def found(words):
+        return template[0] in license_scan.scan(" ".join(["before", *words, "after"]).encode(), (template,))[5].split(",")
+
+    for text in readings(template[1]):
+        words = [w for w, _ in text]
+        assert found(words)
+        for i, (_, mandatory) in enumerate(text):
+            if mandatory:
+                assert not found([*words[:i], "zzz", *words[i + 1 :]])
+                assert not found(words[:i] + words[i + 1 :])
+                if i + 1 < len(text) and text[i + 1][1]:
+                    assert not found([*words[: i + 1], "zzz", *words[i + 1 :]])
+    assert sum(m for _, m in readings(template[1])[0]) >= 3
+
+
+def test_a_grant_that_goes_on_in_other_words_is_no_licence():
+    mit = " ".join(w for w, _ in readings(license_scan.TEMPLATES[0][1])[1])
+    assert "mit" in license_scan.scan(mit.encode())[5].split(",")
+    grant = mit[: mit.index("and to permit persons")]
+    altered = grant + "provided that the licensee pays a yearly fee and gives up every right"
+    assert "mit" not in license_scan.scan(altered.encode())[5].split(",")
+
+
+def test_replaceable_regions_hold_one_word_at_least():
+    auto = license_scan.compile_template("x", "a b <<var;max=2>> c <<var;min=0;max=1>> d")
+    read = lambda t: auto.read(t.encode().split(), 0) == len(t.split())
+    assert [read(x) for x in ("a b c d", "a b x c d", "a b x y c d", "a b x y z c d", "a b x c y d", "a b x c y z d")] == [False, True, True, False, True, False]
+
+
 def test_templates_need_wording():
     for bad in ("<<beginOptional>>a<<endOptional>>", "<<beginOptional>>a b", "<<var;max=3>>"):
         with pytest.raises(ValueError):
