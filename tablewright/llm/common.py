@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.sources.scratch import store
+
 T = TypeVar("T")
 
 #: Narrow rows that one task writes, where a table's size is known.
@@ -26,22 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`).
-
-    Only a one-process local session, as in tests, may fall back to a temporary folder.
-    """
-    conf = spark.sparkContext.getConf()
-    place = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if place:
-        return place.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    place = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -55,9 +39,7 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     spark = df.sparkSession
     if rows is not None and (tasks := rows // ROWS_A_TASK + 2) < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.repartition(tasks)
-    path = f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, label)
 
 
 _cached: dict = {}
