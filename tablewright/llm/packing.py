@@ -7,12 +7,14 @@ longest with the longest that fits beside it; the others go, longest first, into
 them, and open new sequences when no gap does. Equal steps are done as one, so the plan is a list of runs of
 equal sequences whose length depends on the capacity only; it is broadcast.
 
-Placement. Every piece gets its rank among the pieces of its length: rank in a bucket of that length by a
-window, plus the sizes of the buckets before it. The rank tells run, sequence and offset. A length that a
-third of all pieces share is dealt over `BUCKETS` windows.
-
-Cases. Null text counts as empty: one piece that holds the end token only. Repeated rows are pieces of their
-own. An empty table gives an empty result. Extra columns are ignored.
+Placement. Every piece gets its rank among the pieces of its length: rank in a bucket of that length by a window, plus the
+sizes of the buckets before it. The rank tells run, sequence and offset. A length has one bucket for each
+`BUCKET_ROWS` pieces that it has, so no window grows with the data; sizes of buckets are summed by Spark and
+never come to the driver. What does, and is broadcast, is bounded by the capacity: one count for each length, and the plan.
+
+Cases. Null text counts as empty: one piece that holds the end token only. Repeated rows are pieces of their own. Pieces of
+equal length may change places; ties are ordered by doc_id, piece, start and checksum. A long text is tokenized whole. An
+empty table gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from tablewright.llm.common import materialize, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
-BUCKETS = 256
+#: Pieces of one window.
+BUCKET_ROWS = 20_000
 #: Parts of texts whose ids a Python worker keeps, and again as many from before; at about 160 bytes each.
 KEPT_WORDS = 750_000
 #: Texts that are taken together.
@@ -202,21 +205,20 @@ def plan_rows(runs: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """`pieces` with `sequence_id` and `offset`. `pieces` is read twice and must be a stored table."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """`pieces` (`token_pieces`) with `sequence_id` and `offset`. `pieces` is read three times and must be a stored table."""
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).collect()  # capacity * buckets rows at most
-    counts: dict[int, int] = {}
-    before = []
-    for length, bucket, n in sorted(map(tuple, sizes)):
-        before.append((length, bucket, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    counts = dict(pieces.groupBy("length").agg(F.count("*")).collect())  # `capacity` rows at most
     plan = plan_rows(plan_runs(counts, capacity))
-    before_df = spark.createDataFrame(before, "length LONG, _bucket INT, _before LONG")
     plan_df = spark.createDataFrame(plan, "_length LONG, _first LONG, _end LONG, _sequence LONG, _each LONG, _offset LONG")
+    dealing = spark.createDataFrame([(k, n // bucket_rows + 1) for k, n in counts.items()], "_long LONG, _buckets LONG")
+    hashed = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    dealt = pieces.join(F.broadcast(dealing), F.col("length") == F.col("_long")).withColumn("_bucket", F.pmod(hashed, "_buckets")).drop("_long", "_buckets")
+    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialize(sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_before")), "pack-buckets")
     order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = dealt.withColumn("_in", F.row_number().over(order) - 1).join(F.broadcast(before_df), ["length", "_bucket"])
+    ranked = dealt.withColumn("_in", F.row_number().over(order) - 1).join(before, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in"))
     here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     at = F.col("_rank") - F.col("_first")
