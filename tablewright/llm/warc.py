@@ -3,7 +3,9 @@
 Layout. `payloads`: each payload once, as a zstd frame, under its SHA-256. `headers`: one row for each record
 with its exact header bytes and the digest of its payload. A record is its header bytes, the payload (response
 records only) and the closing blank lines; a join on the digest gives it back byte for byte. Readers hash every
-payload again and fail on one that is not what its digest says.
+payload again and fail on one that is not what its digest says. The query's rows come from such reconstructed
+records: their parsed headers, and size and SHA-1 of the block that they hold; a revisit takes those of the record
+that its digest names.
 
 Rule. Of records with equal payloads of at least `min_revisit` bytes, that with the largest page_id is a response
 and the others revisit it; shorter ones are responses, though their payload too is stored once.
@@ -12,10 +14,12 @@ Scale. Payload bytes cross the network once, dealt by (digest, page_id), so a pa
 repeat is moved once. Digests, lengths and headers travel as narrow rows; their hot keys meet stored tables, so
 adaptive execution can split them.
 
-Cases. Null html is an empty payload. Null url: the header has no target. Null page_id sorts below all others; if
+Headers of revisits meet no payload bytes, so a payload that is revisited very often is read once.
+
+Cases. A long payload is held as one value. Null html is an empty payload. Null url: the header has no target. Null page_id sorts below all others; if
 all page_ids of a payload are null, each record is a response. Rows that repeat the largest page_id are all
-responses. Line breaks in a url are percent-encoded. An empty table gives an empty archive. Extra columns are
-ignored.
+responses; record ids repeat with the page_id. Line breaks in a url are percent-encoded. An empty table gives an empty archive. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ from tablewright.llm.common import materialize
 MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Says that a revisit's payload is that of the record it refers to.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_REVISIT = b"\r\nWARC-Type: revisit\r\n"
 
 
 def _binary(col: Column) -> Column:
@@ -82,6 +89,7 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[Dat
         _field("WARC-Target-URI", url),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         _field("WARC-Refers-To", F.when(revisit, _urn(F.col("keep")))),
+        _field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _field("Content-Type", F.lit("text/html; charset=utf-8")),
         _field("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit(CRLF),
@@ -103,49 +111,31 @@ def open_frame(digest: bytes, frame: bytes) -> bytes:
     return payload
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = map(open_frame, batch.column("digest").to_pylist(), batch.column("frame").to_pylist())
-        rows = [(len(x), hashlib.sha1(x).hexdigest()) for x in payloads]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("digest"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())],
-            ["digest", "payload_bytes", "payload_digest"],
-        )
-
-
-def _header_value(name: str, pattern: str) -> Column:
-    return F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: {pattern}\r\n", 1)
-
-
-def _page_of(name: str) -> Column:
-    return _header_value(name, "<urn:page:(-?[0-9]+|null)>").try_cast("long")
+def _record(header: bytes, digest: bytes, frame: bytes | None) -> bytes:
+    """The exact bytes of a record; a response without its payload fails."""
+    if _REVISIT in header:
+        return header + b"\r\n\r\n"
+    if frame is None:
+        raise ValueError(f"no verified payload for record with digest {digest.hex()}")
+    return header + open_frame(digest, frame) + b"\r\n\r\n"
 
 
-def read_index(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """One row for each record: what its header says, and size and SHA-1 of the verified payload."""
-    stored = materialize(payloads.mapInArrow(_verify_batches, "digest BINARY, payload_bytes BIGINT, payload_digest STRING"), "warc-verified")
-    said = _header_value("WARC-Payload-Digest", "sha1:([0-9a-f]+)")
-    rows = headers.join(stored, "digest", "left").select(
-        _page_of("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest",
-        _header_value("WARC-Type", "([a-z]+)").alias("record_type"), _page_of("WARC-Refers-To").alias("refers_to"), said.alias("_said"),
-    )
-    wrong = F.col("payload_digest").isNull() | (F.col("payload_digest") != F.col("_said"))
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("no verified payload for record "), F.col("_said")))).otherwise(F.col("payload_digest"))
-    return rows.withColumn("payload_digest", checked.cast("string")).drop("_said")
+def _joined(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Headers with the frames of their payloads; revisits, which hold none, meet none."""
+    wanted = F.when(F.instr("header", F.lit(_REVISIT)) == 0, F.col("digest"))
+    frames = payloads.select(F.col("digest").alias("at"), "frame")
+    return headers.withColumn("wanted", wanted).join(frames.hint("merge"), F.col("wanted") == F.col("at"), "left").select("page_id", "digest", "header", "frame")
 
 
 def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for header, digest, frame in zip(*(batch.column(x).to_pylist() for x in ("header", "digest", "frame"))):
-            bare = b"\r\nWARC-Type: revisit\r\n" in header
-            out.append(header + (b"" if bare else open_frame(digest, frame)) + b"\r\n\r\n")
+        out = [_record(*row) for row in zip(*(batch.column(x).to_pylist() for x in ("header", "digest", "frame")))]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary())], ["page_id", "record"])
 
 
 def reconstruct_records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """(page_id, record): the exact bytes of every WARC record, header and payload joined by digest."""
-    return headers.join(payloads, "digest").select("page_id", "digest", "header", "frame").mapInArrow(_record_batches, "page_id BIGINT, record BINARY")
+    return _joined(headers, payloads).mapInArrow(_record_batches, "page_id BIGINT, record BINARY")
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -155,6 +145,43 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+_INDEX = "page_id BIGINT, digest BINARY, record_type STRING, refers_to BIGINT, said STRING, payload_bytes BIGINT, payload_digest STRING"
+
+
+def _page_of(urn: str) -> int | None:
+    found = re.fullmatch("<urn:page:(-?[0-9]+)>", urn)
+    return int(found[1]) if found else None
+
+
+def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each reconstructed record says and holds; records are made and parsed one at a time."""
+    for batch in batches:
+        rows = []
+        for header, digest, frame in zip(*(batch.column(x) for x in ("header", "digest", "frame"))):
+            digest = digest.as_py()
+            fields, block = parse_record(_record(header.as_py(), digest, frame.as_py()))
+            said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            held = (None, None)
+            if fields["WARC-Type"] != "revisit":
+                held = (len(block), hashlib.sha1(block).hexdigest())
+                if held[1] != said:
+                    raise ValueError(f"no verified payload for record {said}: its block has {held[1]}")
+            rows.append((_page_of(fields["WARC-Record-ID"]), digest, fields["WARC-Type"], _page_of(fields.get("WARC-Refers-To", "")), said, *held))
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        names = [x.split()[0] for x in _INDEX.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def read_index(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """One row for each record, from the reconstructed records: what its header says, and size and SHA-1 of its payload."""
+    read = materialize(_joined(headers, payloads).mapInArrow(_index_batches, _INDEX), "warc-read")
+    held = read.where("payload_digest IS NOT NULL").groupBy("digest").agg(F.first("payload_bytes").alias("bytes"), F.first("payload_digest").alias("sha1"))
+    rows = read.join(materialize(held, "warc-held"), "digest", "left")
+    wrong = F.col("sha1").isNull() | (F.col("sha1") != F.col("said"))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("no verified payload for record "), F.col("said")))).otherwise(F.col("sha1"))
+    return rows.select("page_id", F.col("bytes").alias("payload_bytes"), checked.cast("string").alias("payload_digest"), "record_type", "refers_to")
+
+
 def archive_pages(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write the archive of `pages`, read it back, one row for each page."""
     return read_index(*write_archive(pages, min_revisit))
