@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
@@ -276,6 +277,19 @@ def test_packing(odd, empty, docs):
     assert packing.pack_documents(empty).collect() == []
 
 
+def test_places_do_not_depend_on_buckets(spark, docs):
+    from tablewright.llm.common import materialize
+
+    pieces = materialize(packing.token_pieces(docs), "test-pieces")
+    texts = texts_of(docs)
+    found = []
+    for rows in (1, 7, 20_000):
+        out = packing.pack(pieces, bucket_rows=rows).collect()
+        check_packing(out, texts)
+        found.append(len({r.sequence_id for r in out}))
+    assert len(set(found)) == 1
+
+
 def test_plan_packs_all_and_pairs_large_items():
     rng = np.random.default_rng(5)
     for capacity in (10, 64, 1024):
@@ -349,13 +363,16 @@ def test_warc_records_come_back_byte_for_byte(spark):
         if fields["WARC-Type"] == "response":
             assert fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(block).hexdigest()
         else:
-            assert block == b"" and fields["WARC-Refers-To"].startswith("<urn:page:")
+            assert block == b"" and fields["WARC-Refers-To"].startswith("<urn:page:") and fields["WARC-Profile"] == warc.PROFILE
 
 
 def test_warc_finds_damage(spark):
     headers, payloads = warc.write_archive(pages_table(spark))
-    bad = payloads.withColumn("digest", F.unhex(F.sha2(F.col("frame"), 256)))
+    other = zstandard.ZstdCompressor().compress(b"other bytes")
     with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_index(headers, payloads.withColumn("frame", F.lit(other))).collect()
+    bad = payloads.withColumn("digest", F.unhex(F.sha2(F.col("frame"), 256)))
+    with pytest.raises(Exception, match="no verified payload"):
         warc.read_index(headers, bad).collect()
     with pytest.raises(Exception, match="no verified payload"):
         warc.read_index(headers, payloads.limit(1)).collect()
@@ -418,6 +435,24 @@ def test_links_of_every_error_pattern(spark):
     assert len({groups[signed(x)] for x in dense}) == 1
 
 
+def test_links_between_dense_groups(spark):
+    """Two clouds of near copies that share keys, and strays near one of them: as all pairs."""
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**62))
+    near = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    prints = {near(base, rng.integers(0, 7)) for _ in range(250)} | {near(near(base, 9), rng.integers(0, 5)) for _ in range(150)} | {near(base, 12) for _ in range(40)}
+    prints = sorted(prints)
+    bits, group = np.array(prints, np.uint64), list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= 3).tolist():
+            if group[i] != group[j]:
+                group = [group[i] if g == group[j] else g for g in group]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = {r.node: r.component for r in simhash.group_fingerprints(spark.createDataFrame([(signed(x),) for x in prints], "fp LONG")).collect()}
+    of = [got.get(signed(x), signed(x)) for x in prints]
+    assert len(set(group)) > 30 and len({*zip(group, of)}) == len(set(group)) == len(set(of))
+
+
 def test_golay_code_is_perfect_and_keys_meet():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 1 << 23, 2000)
