@@ -12,8 +12,8 @@ therefore meets, and the exact distance verifies it.
 Groups. Equal fingerprints are one node. Before the join, nodes at distance 2 or less are contracted without
 pairs: each node names the 65 words within one bit, and all nodes that name the same word, which are within
 two bits of each other, link to its smallest. The join then only looks for links between different contracted
-groups: at a key where the index holds one group, probes of that group are dropped; at any other, index rows of the key's largest
-group only meet probes of other groups. So a dense group of near copies is not compared with itself.
+groups: index rows of a group that has `DENSE` or more of them at a key are set aside, and only probes of other groups that come
+to that key are held against them. So a dense group of near copies is not compared with itself.
 
 Scale. A key has 24 bits. Nodes that share nothing meet by chance: n nodes give about n^2 * 3 * 30 / 2^24 comparisons of two
 numbers inside the join (README has counts); only pairs at distance 3 or less leave it.
@@ -40,6 +40,8 @@ from tablewright.llm.components import connected_components
 WORDS = 3
 SEED = 42
 RADIUS = 3
+#: Index rows of one group at one key that are set aside.
+DENSE = 16
 #: (lowest bit, bits) of each segment.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Generator polynomial of the [23,12] Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -169,17 +171,17 @@ def group_fingerprints(nodes: DataFrame) -> DataFrame:
     )
     schema = "key BIGINT, fp BIGINT, group BIGINT"
     index = materialize(grouped.mapInArrow(_keys_of(False), schema), "simhash-index", 3 * n)
-    held = index.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max(F.struct("n", "group"))["group"].alias("top"), F.min("group").alias("low"), F.max("group").alias("high"))
-    held = materialize(held, "simhash-held", 3 * n)
+    dense = index.groupBy("key", "group").agg(F.count("*").alias("n")).where(F.col("n") >= DENSE).select("key", "group")
+    dense = materialize(dense, "simhash-dense", 3 * n)
+    marked = index.join(dense, ["key", "group"], "left_anti").withColumn("mark", F.lit(False))
+    marked = marked.unionByName(dense.select("key", F.lit(0).cast("long").alias("fp"), "group", F.lit(True).alias("mark")))
     probe = _spread(grouped).mapInArrow(_keys_of(True), schema).toDF("key", "fp2", "group2")
-    # side true: rows of the key's largest group in the index, and the probes of other groups; side false: all other meetings
-    sides = F.when(F.col("group2") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    probe = probe.join(held.hint("merge"), "key").where((F.col("low") != F.col("group2")) | (F.col("high") != F.col("group2")))
-    probe = materialize(probe.select("key", "fp2", "group2", F.explode(sides).alias("side")), "simhash-probe")
-    index = index.join(held.select("key", "top").hint("merge"), "key").select("key", "fp", "group", (F.col("group") == F.col("top")).alias("side"))
     linked = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
-    met = index.join(probe.hint("merge"), ["key", "side"]).where((F.col("group") < F.col("group2")) & linked)
+    apart = F.when(F.col("mark"), F.col("group") != F.col("group2")).otherwise((F.col("group") < F.col("group2")) & linked)
+    met = materialize(marked.join(probe.hint("merge"), "key").where(apart), "simhash-met-keys")
+    heavy = index.join(dense, ["key", "group"], "left_semi")
+    others = met.where("mark").select("key", "group", "fp2", "group2").join(heavy.hint("merge"), ["key", "group"]).where(linked)
+    met = met.where("NOT mark").select("group", "group2").unionByName(others.select("group", "group2"))
     links = materialize(met.select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct(), "simhash-links", n)
     inner = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return materialize(connected_components(inner.unionByName(links)), "simhash-components", n)
