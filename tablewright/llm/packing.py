@@ -52,6 +52,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Known(dict):
+    """Ids of parts; a part that is not there is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = self.learn(part)
+        return ids
+
+
 class TokenIds:
     """Little-endian ids of texts by a byte-level BPE file of `tokenizers`.
 
@@ -72,8 +84,7 @@ class TokenIds:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that a byte-level vocabulary shows as themselves
         self.shown = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - plain))}
         #: Ids of parts met since the last turn, and in the turn before it.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = _Known(self._learn), {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,32 +94,26 @@ class TokenIds:
         shown = "\u0120" + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(self.shown)
         return array("I", [x.id for x in self.merge(shown)]).tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, part: str) -> bytes:
         """Letters and a mark behind them are parts of their own to the tokenizer, so ids of the letters serve both."""
-        ended = {x: x[:-1] for x in parts if x[-1] in ENDS and x[1:-1].isalpha()}
-        others = []
-        for part in parts.difference(ended).union({*ended.values(), *ENDS}.difference(self.known)):
-            if (ids := self.older.get(part)) is not None:
-                self.known[part] = ids
-            elif (part[1:] if part[0] == " " else part).isalpha():
-                self.known[part] = self._word(part)
-            else:
-                others.append(part)
-        self.known.update(zip(others, self._plain(others)))
-        self.known.update({x: self.known[stem] + self.known[x[-1]] for x, stem in ended.items()})
+        if (ids := self.older.get(part)) is not None:
+            return ids
+        if part[-1] in ENDS and part[1:-1].isalpha():
+            return self.known[part[:-1]] + self.known[part[-1]]
+        if (part[1:] if part[0] == " " else part).isalpha():
+            return self._word(part)
+        return self._plain([part])[0]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        if len(self.known) > self.kept_words:
+            self.known, self.older = _Known(self._learn), dict(self.known)
+        ids_of, out = self.known.__getitem__, []
         for text in texts:
-            odd = not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.uncut)
-            cut.append(None if odd else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        met = set().union(*(parts for parts in cut if parts))
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > self.kept_words:
-            self.known, self.older, new = {}, self.known, met
-        self._learn(new)
-        ids_of = self.known.__getitem__
-        return [self._plain([t])[0] if parts is None else b"".join(map(ids_of, parts)) for t, parts in zip(texts, cut)]
+            if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.uncut):
+                out.append(self._plain([text])[0])
+            else:
+                out.append(b"".join(map(ids_of, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+        return out
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
