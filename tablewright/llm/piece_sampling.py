@@ -15,7 +15,8 @@ Lossless. A leading blank mark is added, as by the library, and taken off on dec
 back, byte for byte.
 
 Cases. Null text counts as empty and has no ids. Null doc_id is a key of its own. Repeated rows give equal
-samples. A chunk may be of any length. An empty table gives an empty result. Extra columns
+samples. A text of more than `SLICE` characters is cut between chunks, so its lattice is made piece by piece with the same
+result. A chunk may be of any length. An empty table gives an empty result. Extra columns
 are ignored.
 """
 
@@ -100,16 +101,31 @@ class Sampler:
         for piece, (i, weight) in pieces.items():
             self.piece_at[nodes[piece]], self.weight_at[nodes[piece]] = i, weight
 
-    def chunks(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct chunks, the chunk numbers of all texts one after another, and how many each text has."""
+    def _ends(self, marked: str) -> np.ndarray:
+        """Where each chunk ends but for the last."""
+        classes = self.class_of[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return np.flatnonzero(~self.beside[classes[:-1], classes[1:]]) + 1
+
+    def pieces(self, text: str, limit: int) -> Iterator[tuple[str, int]]:
+        """A text with its marks, cut between chunks into pieces of at most `limit` characters, or of one chunk; the number of each one's first chunk."""
+        marked = MARK + text.replace(MARK, ESCAPE).replace(" ", MARK) if text else ""
+        if len(marked) <= limit:
+            yield marked, 0
+            return
+        borders = np.append(self._ends(marked), len(marked))
+        start = first = 0
+        while start < len(marked):
+            last = max(int(np.searchsorted(borders, start + limit, "right")) - 1, first)
+            yield marked[start : borders[last]], first
+            start, first = int(borders[last]), last + 1
+
+    def chunks(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct chunks, the chunk numbers of all pieces one after another, and how many each has."""
         numbers, own, counts = _Numbered(), [], []
-        for text in texts:
+        for marked in pieces:
             found: list[int] = []
-            if text:
-                marked = MARK + text.replace(MARK, ESCAPE).replace(" ", MARK)
-                classes = self.class_of[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
-                ends = np.flatnonzero(~self.beside[classes[:-1], classes[1:]]) + 1
-                ends = ends.tolist()
+            if marked:
+                ends = self._ends(marked).tolist()
                 found = [numbers[marked[i:j]] for i, j in zip([0, *ends], [*ends, len(marked)])]
             own.append(np.array(found, np.int32))
             counts.append(len(found))
@@ -172,15 +188,21 @@ class Sampler:
         back = np.where(inside, start - 1, -1)
         return stops - 1, first, share, ids, back
 
-    def sample(self, texts: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
-        """Backward sampling: ids of each text."""
+    def sample(self, texts: list[str], keys: list[int], seed: int = SEED, limit: int = SLICE) -> list[np.ndarray]:
+        """Ids of each text."""
+        if all(len(x) < limit for x in texts):
+            return self._sample([next(self.pieces(x, limit))[0] for x in texts], keys, [0] * len(texts), seed)
+        return [np.concatenate([self._sample([piece], [k], [first], seed)[0] for piece, first in self.pieces(x, limit)]) for x, k in zip(texts, keys)]
+
+    def _sample(self, texts: list[str], keys: list[int], firsts: list[int], seed: int) -> list[np.ndarray]:
+        """Backward sampling: ids of each piece of a text; `firsts` are the numbers of their first chunks."""
         chunks, number, counts = self.chunks(texts)
         if not len(number):
             return [np.zeros(0, np.int32) for _ in texts]
         last, first, share, ids, back = self.lattice(chunks)
         at = last[number]
         own = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
-        nth = (np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+        nth = (np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts - np.array(firsts), counts)).astype(np.uint64)
         gold = np.uint64(0x9E3779B97F4A7C15)
         with np.errstate(over="ignore"):
             state = _mix(np.array([k % (1 << 64) for k in keys], np.uint64) ^ _mix(np.uint64(seed) + np.zeros(1, np.uint64)))

@@ -10,7 +10,7 @@ Training set. Labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most
 doc_id; their texts are used whole. Labels, lang, source and doc_id are inputs of no score. Without labelled rows
 every score is 0.5.
 
-Cases. Null text counts as empty; a text without words scores by the bias alone. Null labels and null doc_ids
+Cases. A long text counts whole; it has at most `BUCKETS` distinct features. Null text counts as empty; a text without words scores by the bias alone. Null labels and null doc_ids
 in `labels` are left out; repeated labels count once, the larger one. Repeated documents are scored one by one. An
 empty table gives an empty result. Extra columns, whatever their names, are ignored by `classify` and kept by
 `keep_good`.
@@ -144,7 +144,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Words().features(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        found = [Words().features(x) for x in each_text(batch.column("text"), 1)]
         lists = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "buckets", "counts"])
 
@@ -165,8 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rows = texts.join(F.broadcast(ids), texts["doc_id"] == ids["_id"]).select("doc_id", "label", "text")
     rows = rows.mapInArrow(_feature_batches, "doc_id BIGINT, label INT, buckets ARRAY<INT>, counts ARRAY<INT>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "buckets", "counts")).alias("f")).select("doc_id", "f.*")
-    found = sorted(rows.toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    return train([(np.array(r["buckets"], np.int64), np.array(r["counts"], np.float64), r["label"]) for r in found])
+    found = rows.toArrow().sort_by("doc_id")  # `sample` rows of at most `BUCKETS` distinct buckets each, read where they lie
+    columns = (found.column(x).combine_chunks() for x in ("buckets", "counts", "label"))
+    return train([(b.values.to_numpy(), c.values.to_numpy(), label.as_py()) for b, c, label in zip(*columns)])
 
 
 def _scorer(spark: SparkSession, model: Model):

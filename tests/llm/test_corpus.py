@@ -629,6 +629,18 @@ def test_sampled_segmentations_are_lossless_and_reproducible(odd, empty, docs):
     assert piece_sampling.encode_sampled(empty).collect() == []
 
 
+def test_long_texts_are_sampled_piece_by_piece(docs):
+    own = piece_sampling.Sampler(piece_sampling.default_model())
+    texts = [t or "" for _, t in texts_of(docs)[:60]] + ["", "a", " ", "\u2581 x", "zz" * 500]
+    keys = list(range(len(texts)))
+    whole = own.sample(texts, keys)
+    for limit in (1, 40, 333):
+        assert all("".join(p for p, _ in own.pieces(t, limit)) == "".join(p for p, _ in own.pieces(t, 10**9)) for t in texts)
+        cut = own.sample(texts, keys, limit=limit)
+        assert all(a.tolist() == b.tolist() for a, b in zip(whole, cut))
+    assert max(len(p) for t in texts for p, _ in own.pieces(t, 333)) <= max(333, max(map(len, own.chunks([next(own.pieces(t, 10**9))[0] for t in texts])[0])))
+
+
 def test_samples_follow_the_lattice():
     own = piece_sampling.Sampler(piece_sampling.default_model())
     weight = {x.decode().replace(" ", piece_sampling.MARK): i for i, x in own.raw.items() if i not in own.bytes.values()}
