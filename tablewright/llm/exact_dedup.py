@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import ascii_lower, boxed, each_text, materialize, text_key, unboxed
+from tablewright.sources.scratch import discard
 
 PREFIX = 256
 
@@ -55,8 +56,10 @@ def _shared(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
 def suspects(docs: DataFrame) -> DataFrame:
     """(size, prefix) that two rows or more share: length first, then, where it is shared, the prefix."""
     rows = materialize(_texts(docs).select("size", "prefix"), "exact-signatures")
-    rest = rows.join(_shared(rows, ["size"], "exact-sizes"), "size", "left_semi")
-    return _shared(rest, ["size", "prefix"], "exact-prefixes")
+    sizes = _shared(rows, ["size"], "exact-sizes")
+    found = _shared(rows.join(sizes, "size", "left_semi"), ["size", "prefix"], "exact-prefixes")
+    discard(rows, sizes)
+    return found
 
 
 def _groups(rows: DataFrame) -> DataFrame:

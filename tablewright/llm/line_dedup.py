@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import BLANKS, boxed, materialize, text_key, unboxed
+from tablewright.sources.scratch import discard
 
 WINDOW = 3
 
@@ -61,7 +62,9 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     repeated = materialize(groups.where("first <> last").select("w1", "w2", "first"), "lines-repeated", n // 2)
     later = places.join(repeated.hint("merge"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("covered"))
-    return materialize(gone, "lines-covered", n)
+    gone = materialize(gone, "lines-covered", n)
+    discard(places, repeated)
+    return gone
 
 
 def _with_covered(docs: DataFrame) -> DataFrame:

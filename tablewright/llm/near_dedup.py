@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import boxed, each_text, materialize, text_key, unboxed, worker_cache
 from tablewright.llm.components import connected_components
 from tablewright.llm.simhash import codewords, syndromes
+from tablewright.sources.scratch import discard
 
 WORDS = 5
 #: Least similarity of a link, as a fraction.
@@ -212,19 +213,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(_set_batches, "node BIGINT, found BINARY"), "near-sets")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) and both sets. The many pairs of one text meet stored sets, so that such a key is split.
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, ...) and both sets, and a table to discard then. The many pairs of one text meet stored sets: such a key is split.
 
     Sort-merge joins are written by all tasks of their shuffle: fewer would hold the memory of many sorts at once.
     """
     of = lambda x: sets.select(F.col("node").alias(x), F.col("found").alias(f"set_{x}"))
-    return materialize(pairs.join(of("b").hint("merge"), "b"), "near-half").join(of("a").hint("merge"), "a")
+    half = materialize(pairs.join(of("b").hint("merge"), "b"), "near-half")
+    return half.join(of("a").hint("merge"), "a"), half
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar, by all their shingles."""
-    rows = _with_sets(pairs, sets).where(F.arrow_udf(_linked, "boolean")("set_a", "set_b"))
-    return materialize(rows.select("a", "b"), "near-links")
+    rows, half = _with_sets(pairs, sets)
+    links = materialize(rows.where(F.arrow_udf(_linked, "boolean")("set_a", "set_b")).select("a", "b"), "near-links")
+    discard(half)
+    return links
 
 
 def _groups(links: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -264,10 +268,12 @@ def _more_pairs(members: DataFrame, weights: DataFrame, groups: DataFrame, sets:
     centre = weights.join(groups.hint("merge"), "node").groupBy(F.col("group").alias("top")).agg(F.max(F.struct("weight", "node"))["node"].alias("b"))
     open_ = apart.unionByName(own.select("node", "size", "group", F.col("group").alias("top"))).withColumnRenamed("node", "a")
     open_ = materialize(open_.join(centre.hint("merge"), "top").where("a <> b"), "near-open")
-    held = _with_sets(open_, sets).withColumn("f", F.arrow_udf(_beyond, _BEYOND).asNondeterministic()("set_a", "set_b"))
+    held, half = _with_sets(open_, sets)
+    held = held.withColumn("f", F.arrow_udf(_beyond, _BEYOND).asNondeterministic()("set_a", "set_b"))
     held = held.select("a", "b", "size", "group", "top", (F.octet_length("set_b") / 8).cast("long").alias("size_b"), "f.both", "f.beyond")
     linked = similar(F.col("both"), F.col("size"), F.col("size_b"))
     held = materialize(held.withColumn("odd", (F.col("group") != F.col("top")) & ~linked), "near-beyond")
+    discard(placed, apart, open_, half)
     links = held.where((F.col("group") != F.col("top")) & ~F.col("odd")).select("a", "b")
 
     # a size s that shares with x nothing beyond the centre: 4/9 (size + s) <= both
@@ -305,7 +311,9 @@ def group_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     centred, more = _more_pairs(members, weights, groups, sets)
     more = materialize(more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-more")
     links = links.unionByName(centred).unionByName(_links(more, sets))
-    return _groups(materialize(links, "near-edges", n), nodes, n)
+    found = _groups(materialize(links, "near-edges", n), nodes, n)
+    discard(met, members, weights, sets, pairs, more, groups, links)
+    return found
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import BLANKS, boxed, each_text, materialize, unboxed, worker_cache
+from tablewright.sources.scratch import discard
 
 MIN_WORDS = 50
 MIN_DOCS = 20
@@ -147,9 +148,13 @@ def lines_lost(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX
         .where(F.col("holders") > bar)
         .select("host", "line")
     )
-    lost = held.join(materialize(over, "quality-over", classes.count()), ["host", "line"])
+    n = classes.count()
+    over = materialize(over, "quality-over", n)
+    lost = held.join(over, ["host", "line"])
     lost = lost.groupBy("host", "k1", "k2").agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("gone"))
-    return materialize(lost, "quality-lost", classes.count())
+    lost = materialize(lost, "quality-lost", n)
+    discard(classes, over)
+    return lost
 
 
 def _base_failed(n_words: Column, n_repeat: Column, min_words: int) -> Column:
@@ -200,7 +205,9 @@ def _without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
 
 def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without the lines over the limit; the columns of `docs` stay."""
-    lost = lines_lost(measured(docs), STAGE_MIN_DOCS, STAGE_MAX_SHARE, STAGE_MAX_DOCS)
+    measures = measured(docs)
+    lost = lines_lost(measures, STAGE_MIN_DOCS, STAGE_MAX_SHARE, STAGE_MAX_DOCS)
+    discard(measures)
     facts = F.arrow_udf(_row_facts, "struct<k1: bigint, k2: bigint, words: bigint, repeat: bigint>").asNondeterministic()  # evaluated once
     rows = boxed(docs, host=_host(), facts=facts(F.coalesce("text", F.lit(""))))
     rows = rows.where(~_base_failed(F.col("facts.words"), F.col("facts.repeat"), min_words))

@@ -20,7 +20,8 @@ numbers inside the join (README has counts); only pairs at distance 3 or less le
 
 Cases. Null or blank text has fingerprint zero, linked like any other. Fewer than three words: one shingle. Repeated
 rows share a node and are all returned. Null doc_id: such a row is kept; it names a component only if no other
-row does. An empty table gives an empty result. Extra columns are ignored.
+row does. A long text's shingles are hashed whole, its bits counted in blocks. An empty table gives an empty result. Extra columns,
+whatever their names, are ignored by `near_duplicates` and kept by `first_of_each_group`.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import boxed, each_text, materialize, text_key, unboxed, worker_cache
 from tablewright.llm.components import connected_components
+from tablewright.sources.scratch import discard
 
 WORDS = 3
 SEED = 42
@@ -178,13 +180,15 @@ def group_fingerprints(nodes: DataFrame) -> DataFrame:
     probe = _spread(grouped).mapInArrow(_keys_of(True), schema).toDF("key", "fp2", "group2")
     linked = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
     apart = F.when(F.col("mark"), F.col("group") != F.col("group2")).otherwise((F.col("group") < F.col("group2")) & linked)
-    met = materialize(marked.join(probe.hint("merge"), "key").where(apart), "simhash-met-keys")
+    meetings = materialize(marked.join(probe.hint("merge"), "key").where(apart), "simhash-met-keys")
     heavy = index.join(dense, ["key", "group"], "left_semi")
-    others = met.where("mark").select("key", "group", "fp2", "group2").join(heavy.hint("merge"), ["key", "group"]).where(linked)
-    met = met.where("NOT mark").select("group", "group2").unionByName(others.select("group", "group2"))
+    others = meetings.where("mark").select("key", "group", "fp2", "group2").join(heavy.hint("merge"), ["key", "group"]).where(linked)
+    met = meetings.where("NOT mark").select("group", "group2").unionByName(others.select("group", "group2"))
     links = materialize(met.select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct(), "simhash-links", n)
     inner = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialize(connected_components(inner.unionByName(links)), "simhash-components", n)
+    found = materialize(connected_components(inner.unionByName(links)), "simhash-components", n)
+    discard(stars, near, grouped, index, dense, meetings, links)
+    return found
 
 
 def _name_groups(rows: DataFrame, least: Column) -> DataFrame:
