@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _sure(test: Column) -> Column:
@@ -89,3 +90,21 @@ def report(rows: DataFrame, ok: Column) -> DataFrame:
 def checked(value: Column, ok: Column, message: str) -> Column:
     """`value`, or a failed query where the check does not hold."""
     return F.when(_sure(ok), value).otherwise(F.raise_error(F.lit(message)))
+
+
+def typed(rows: DataFrame, schema: str, strict: bool = True) -> DataFrame:
+    """Rows as records of a schema given as DDL: its fields alone, in its order, with its types.
+
+    A missing column is null. A value that is not of its type fails the query (strict) or is null; NOT NULL fields
+    that are null fail the query in either form.
+    """
+    out = []
+    for field in StructType.fromDDL(schema).fields:
+        raw = F.col(f"`{field.name}`") if field.name in rows.columns else F.lit(None)
+        value = raw.try_cast(field.dataType)
+        if strict:
+            value = F.when(raw.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"{field.name} is not {field.dataType.simpleString()}: "), raw.cast("string"))).cast(field.dataType)).otherwise(value)
+        if not field.nullable:
+            value = F.when(value.isNull(), F.raise_error(F.lit(f"{field.name} is required")).cast(field.dataType)).otherwise(value)
+        out.append(value.alias(field.name))
+    return rows.select(*out)

@@ -160,3 +160,41 @@ def parent_chunks(docs: DataFrame, key: str, text: str, parent: int = 800, child
     n = F.greatest(F.lit(1), F.ceil(F.length("_parent") / F.lit(child))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("_parent"), i * child + 1, F.lit(child)))
     return big.select(key, "parent_index", F.posexplode(parts).alias("chunk_index", "chunk"))
+
+
+def fenced_parts(text: str, size: int = 400) -> list[str]:
+    """Lines gathered up to `size` characters; a table, lines that start with a bar, is never parted, and keeps the line before it.
+
+    A longer line that is no table is cut at sentence ends, and where there is none, at `size`.
+    """
+    units: list[list[str]] = []
+    for line in text.split("\n"):
+        table = line.lstrip().startswith("|")
+        if table and units and (units[-1][-1].lstrip().startswith("|") or units[-1][-1].strip()):
+            units[-1].append(line)
+        elif table or len(line) <= size:
+            units.append([line])
+        else:
+            for sentence in re.split(r"(?<=[.!?])[ \t]+", line):
+                units += [[sentence[i : i + size]] for i in range(0, len(sentence), size)]
+    out: list[str] = []
+    held = ""
+    for unit in units:
+        part = "\n".join(unit)
+        if held and len(held) + 1 + len(part) > size:
+            out.append(held)
+            held = ""
+        held = f"{held}\n{part}" if held else part
+    return [x for x in [*out, held] if x.strip()]
+
+
+def table_chunks(docs: DataFrame, key: str, text: str, size: int = 400) -> DataFrame:
+    """(key, chunk_index, chunk): `fenced_parts` of each text, in one Arrow pass."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [fenced_parts(x.as_py() or "", size) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "chunks"])
+
+    rows = docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(batches, f"{key} BIGINT, chunks ARRAY<STRING>")
+    return rows.select(key, F.posexplode("chunks").alias("chunk_index", "chunk"))

@@ -116,6 +116,13 @@ def account_checks(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", name.alias("name"), domain.alias("domain"), P.password_like(F.concat(F.lit("pw-"), "c_custkey")).alias("strong"), P.email_like(mail).alias("mail_ok"))
 
 
+@query("customer", sql="SELECT c_custkey, c_custkey::DOUBLE AS balance, try_cast(c_mktsegment AS INTEGER) AS segment, NULL::VARCHAR AS phone FROM customer")
+def typed_records(customer: DataFrame) -> DataFrame:
+    """Records of a typed model from columns of text; what is not of its type is null, a missing field too."""
+    raw = customer.select(C("c_custkey").cast("string").alias("c_custkey"), C("c_custkey").cast("string").alias("balance"), C("c_mktsegment").alias("segment"), "c_name")
+    return P.typed(raw, "c_custkey BIGINT NOT NULL, balance DOUBLE, segment INT, phone STRING", strict=False)
+
+
 @query("lineitem", "part", sql="SELECT p_partkey, p_size FROM part WHERE p_size < 5 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def low_stock(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Listed parts of which less than five are left (their size stands for the stock)."""

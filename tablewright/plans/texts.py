@@ -66,6 +66,12 @@ def semantic_chunks(documents: DataFrame) -> DataFrame:
     return X.semantic_chunks(documents, "doc_id", "text")
 
 
+@query("documents")
+def table_chunks(documents: DataFrame) -> DataFrame:
+    """Chunks that keep tables whole."""
+    return X.table_chunks(documents, "doc_id", "text")
+
+
 @query("documents", sql="""
 SELECT doc_id, p::INTEGER AS parent_index, i::INTEGER AS chunk_index, substring(q, (i * 200 + 1)::BIGINT, 200) AS chunk FROM (
  SELECT doc_id, p, substring(t, (p * 800 + 1)::BIGINT, 800) AS q FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), unnest(range(0, greatest(1, ceil(length(t) / 800.0)::BIGINT))) a(p)),

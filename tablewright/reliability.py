@@ -119,3 +119,21 @@ def observed(rows: DataFrame, name: str = "rows") -> tuple[DataFrame, Observatio
     """`rows`, and an observation that holds how many passed once an action has run: no second pass, no cache."""
     watch = Observation(name)
     return rows.observe(watch, F.count(F.lit(1)).alias("n")), watch
+
+
+def falling_back(defaults: dict[type[Exception], Any]):
+    """An error of a listed type gives its default instead, the most special type first; others go through."""
+
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def call(*args, **named):
+            try:
+                return f(*args, **named)
+            except tuple(defaults) as error:
+                kind = next(x for x in type(error).__mro__ if x in defaults)
+                default = defaults[kind]
+                return default(error) if callable(default) else default
+
+        return call
+
+    return wrap

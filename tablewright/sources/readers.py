@@ -26,6 +26,11 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.btrim("value", F.lit(BLANKS)).alias("value"))
 
 
+def setting_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
+    """Trimmed lines but for blank ones and comments."""
+    return text_lines(spark, path).where((F.col("value") != "") & ~F.startswith(F.col("value"), F.lit(comment)))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their place in the file, from 0; a DataFrame itself has no order."""
     lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)

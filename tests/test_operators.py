@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tablewright import reliability as L
 from tablewright.functions import containers as B
 from tablewright.functions import strings as S
+from tablewright.operators import predicates as P
 from tablewright.operators import retrieve as V
 from tablewright.operators import tables as R
 from tablewright.operators import text as X
-from tablewright.sources import scratch, sinks
+from tablewright.sources import readers, scratch, sinks
 
 
 def test_places_of_many_rows_are_exact(spark):
@@ -210,6 +211,10 @@ def test_wrappers(spark):
     with pytest.raises(RuntimeError, match="reading prices: 'x'") as caught:
         L.with_context("reading prices", KeyError)(lambda: {}["x"])()
     assert isinstance(caught.value.__cause__, KeyError)
+    safe = L.falling_back({LookupError: "lookup", KeyError: lambda e: f"key {e}"})
+    assert safe(lambda: {}["x"])() == "key 'x'" and safe(lambda: [][1])() == "lookup" and safe(lambda: 3)() == 3
+    with pytest.raises(ZeroDivisionError):
+        safe(lambda: 1 / 0)()
     rows, watch = L.observed(spark.range(17).where("id > 3"), "seen")
     rows.collect()
     assert watch.get["n"] == 13
@@ -247,3 +252,30 @@ def test_random_texts_split_recursively():
         chunks = X.split_recursively(text, 30, 5)
         assert all(len(c) <= 30 for c in chunks)
         assert set("".join(text.split())) == set("".join("".join(chunks).split()))
+
+
+def test_typed_records(spark):
+    rows = spark.createDataFrame([("1", "x", True), ("2", None, False)], "a STRING, b STRING, c BOOLEAN")
+    got = P.typed(rows, "b STRING, a INT NOT NULL, d DOUBLE, c STRING")
+    assert [tuple(r) for r in got.collect()] == [("x", 1, None, "true"), (None, 2, None, "false")]
+    with pytest.raises(Exception, match="b is not int: x"):
+        P.typed(rows, "b INT").collect()
+    assert [r.b for r in P.typed(rows, "b INT", strict=False).collect()] == [None, None]
+    with pytest.raises(Exception, match="b is required"):
+        P.typed(rows, "b STRING NOT NULL").collect()
+
+
+def test_tables_stay_whole(spark):
+    table = "Prices are:\n| a | b |\n|---|---|\n" + "\n".join(f"| row {i} | {i} |" for i in range(60))
+    text = "Intro. " * 30 + "\n" + table + "\n" + "Sentence one here. Another one! " * 40
+    parts = X.fenced_parts(text, 200)
+    assert sum("row 0 |" in p and "row 59 |" in p and "Prices are:" in p for p in parts) == 1
+    assert all(len(p) <= 200 for p in parts if "|" not in p)
+    assert "".join("".join(parts).split()) == "".join(text.split())
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "k LONG, t STRING")
+    assert [r.chunk for r in sorted(X.table_chunks(rows, "k", "t", 200).collect())] == parts
+
+
+def test_setting_lines(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("# a comment\n\n  key=1  \n\t# more\nlast")
+    assert sorted(r.value for r in readers.setting_lines(spark, f"file://{tmp_path}/s.txt").collect()) == ["key=1", "last"]
