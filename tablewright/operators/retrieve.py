@@ -83,23 +83,26 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), "")
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank). `queries` (query_id, text), `docs` (id, text).
 
-    Only postings of query terms are shuffled and scored, each with its document's length beside it; document
-    frequencies and lengths are over all documents. Lengths are summed by a scan that shuffles one row of each task.
+    One scan of the texts: postings of query terms, each with its document's length beside it, and an empty term that every
+    document has once, from which the number of documents and their length come. Only these are shuffled, and
+    once: counts by term and the scores read the same exchange, as no filter parts their plans.
     """
     asked = terms(queries, "query_id", "text").distinct()
     words = docs.select("id", _words(F.col("text")).alias("words"))
-    spread = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    tf = spread.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    tf = store(tf, "postings")
-    corpus = words.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total"))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(df.join(asked, "term"), "term").crossJoin(F.broadcast(corpus))  # one row
+    spread = words.select("id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term STRING"))
+    found = spread.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    counts = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    every = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
+    corpus = counts.agg(every("df").alias("n"), every("total").alias("total"))  # one row
+    asked = counts.select("term", "df").join(asked, "term")
+    rows = found.join(asked, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("total") / F.col("n")))
     scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,10 +113,16 @@ def recursive_chunks(docs: DataFrame, key: str, text: str, size: int = 150, over
     return rows.select(key, F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
+def _letters(texts: pa.Array) -> pa.Array:
+    rows = np.zeros((len(texts), 26))
+    for i, text in enumerate(pc.utf8_lower(texts).cast(pa.binary())):
+        rows[i] = np.bincount(np.frombuffer(text.as_buffer(), np.uint8), minlength=256)[97:123]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 26, pa.int32()), pa.array(rows.ravel()))
+
+
 def letter_vector(text: Column) -> Column:
     """How often each letter a to z occurs: a stand-in vector where no embedding model is at hand."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return F.array(*(F.regexp_count(lower, F.lit(c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+    return F.arrow_udf(_letters, "array<double>")(F.coalesce(text, F.lit("")))
 
 
 def join_alike(parts: list[str], percentile: float = 0.9, dims: int = 64) -> list[str]:
