@@ -61,11 +61,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def drop_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of operator 10 that reads in full only what shares length and prefix: the documents that stay."""
+    return exact_dedup.drop_duplicate_texts(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_warc_archive, op5_simhash_golay,
         op6_line_dedup, op7_sharding, op8_piece_sampling, op9_quality_classifier, op10_exact_dedup,
+        drop_duplicate_documents,
     )
 }
 
@@ -146,6 +152,10 @@ SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines,
   CASE WHEN covered IS NULL THEN text
     ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(covered, i - 1)), chr(10)) END AS text
 FROM d LEFT JOIN c USING (r)
+""",
+    "drop_duplicate_documents": f"""
+SELECT * EXCLUDE (keep_id) FROM (SELECT *, max(doc_id) OVER (PARTITION BY {_LOWER.format("coalesce(text, '')")}) AS keep_id FROM documents)
+WHERE doc_id IS NOT DISTINCT FROM keep_id OR keep_id IS NULL
 """,
     "op10_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
