@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each written and read again."""
+"""From raw documents to packed training sequences: five stages, each written and read again.
+
+Each stage takes null and blank texts, ties, repeated rows, very long texts, an empty table and further columns as its operator's
+module says; columns of the user's come back unchanged, whatever their names, but for `text` and `n_chars` where lines were
+removed. In short: a document without words fails the base rules and goes with the first stage; repeated rows share
+their verdicts; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +18,27 @@ KEPT_WORDS = 250_000
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines that too many documents of their host share."""
+    """Documents that the rules keep, without lines that too many documents of their host share. A null source is a host."""
     return quality_rules.filter_documents(docs)
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; without labels every document scores 0.5 and stays."""
     return quality_classifier.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, passages of three lines or more only where they come first."""
+    """All documents, passages of three lines or more only where they come first, by doc_id (null first), line and hash of the text."""
     return line_dedup.dedup_lines(docs)
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies, that with the smallest doc_id (null last): five-word shingles, similarity of 0.8 or more."""
     return near_dedup.first_of_each_group(docs)
 
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences; repeated rows are packed each."""
     return packing.pack_documents(docs, kept_words=KEPT_WORDS)
 
 
