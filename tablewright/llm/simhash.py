@@ -15,8 +15,8 @@ two bits of each other, link to its smallest. The join then only looks for links
 groups: index rows of a group that has `DENSE` or more of them at a key are set aside, and only probes of other groups that come
 to that key are held against them. So a dense group of near copies is not compared with itself.
 
-Scale. A key has 24 bits. Nodes that share nothing meet by chance: n nodes give about n^2 * 3 * 30 / 2^24 comparisons of two
-numbers inside the join (README has counts); only pairs at distance 3 or less leave it.
+Scale. A key has 24 bits, so nodes that share nothing meet by chance, and comparisons of two numbers inside the join grow with
+the square of the nodes (README has counts at two sizes); only pairs at distance 3 or less leave it.
 
 Cases. Null or blank text has fingerprint zero, linked like any other. Fewer than three words: one shingle. Repeated
 rows share a node and are all returned. Null doc_id: such a row is kept; it names a component only if no other
