@@ -2,9 +2,10 @@
 
 Method. Lines are normalised (A-Z lower-cased, blanks collapsed) and hashed. For every host (`source`) the
 distinct documents that hold a line are counted; exact copies of a text count as one document, so that
-copying alone makes no boilerplate. A line is over the limit if more than max(min_docs, max_share * distinct
-documents of the host) documents hold it. Such lines are removed; a document is rejected as depleted if it
-lost lines and under `min_left` of its words are left.
+copying alone makes no boilerplate. A line is over the limit if more than `min_docs` documents hold it and more
+than `max_share` of the host's or `max_docs`, whichever is less: the bar follows a small host's size and stands
+still in a large one. Such lines are removed; a document is rejected as depleted if it lost lines and under
+`min_left` of its words are left. The report and the filter have the same limits.
 
 Cases. Null text counts as empty: no words, so the base rules reject it. Null source is a host of its own.
 Repeated rows (same host and text) form one class and share its verdict; every input row is returned. An empty
@@ -27,13 +28,10 @@ from tablewright.llm.common import BLANKS, boxed, each_text, materialize, unboxe
 from tablewright.sources.scratch import discard
 
 MIN_WORDS = 50
-MIN_DOCS = 20
-MAX_SHARE = 0.08
+MIN_DOCS = 3
+MAX_SHARE = 0.03
+MAX_DOCS = 200
 MIN_LEFT = 0.5
-#: Limits of the pipeline's stage: the bar follows the host's size only up to STAGE_MAX_DOCS.
-STAGE_MIN_DOCS = 3
-STAGE_MAX_SHARE = 0.03
-STAGE_MAX_DOCS = 200
 SYMBOLS = "#*$%&|<>"
 
 _BLANK_BYTES = BLANKS.encode()
@@ -128,18 +126,16 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_measure_batches, _MEASURED_DDL), "quality-measured")
 
 
-def lines_lost(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int | None = None) -> DataFrame:
+def lines_lost(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """Classes (host, text) that hold lines over the limit, with these lines and their words.
 
     One row stands for each class, so a text that a third of all rows repeat is one row here. Line counts
-    are summed before the shuffle; a line that every document holds is one row of each task. With `max_docs`,
-    a line that more documents hold is over the limit in a host of any size.
+    are summed before the shuffle; a line that every document holds is one row of each task.
     """
     classes = materialize(rows.groupBy("host", "k1", "k2").agg(F.first("lines").alias("lines")), "quality-classes")
     sizes = classes.groupBy("host").agg(F.count("*").alias("docs"))
     held = classes.select("host", "k1", "k2", F.inline("lines"))
-    bar = F.col("docs") * max_share
-    bar = bar if max_docs is None else F.least(bar, F.lit(float(max_docs)))
+    bar = F.least(F.col("docs") * max_share, F.lit(float(max_docs)))
     over = (
         held.groupBy("host", "line")
         .agg(F.count("*").alias("holders"))
@@ -170,11 +166,12 @@ def quality_rules(
     min_words: int = MIN_WORDS,
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_SHARE,
+    max_docs: int = MAX_DOCS,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """One row for each document: measures, `base_failed`, lines and words lost, `kept`."""
     rows = measured(docs)
-    lost = lines_lost(rows, min_docs, max_share)
+    lost = lines_lost(rows, min_docs, max_share, max_docs)
     lost_words = F.coalesce("lost_words", F.lit(0))
     failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words)
     return rows.drop("lines").join(lost, ["host", "k1", "k2"], "left").select(
@@ -203,10 +200,17 @@ def _without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT) -> DataFrame:
+def filter_documents(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    min_docs: int = MIN_DOCS,
+    max_share: float = MAX_SHARE,
+    max_docs: int = MAX_DOCS,
+    min_left: float = MIN_LEFT,
+) -> DataFrame:
     """The documents that the rules keep, without the lines over the limit; the columns of `docs` stay."""
     measures = measured(docs)
-    lost = lines_lost(measures, STAGE_MIN_DOCS, STAGE_MAX_SHARE, STAGE_MAX_DOCS)
+    lost = lines_lost(measures, min_docs, max_share, max_docs)
     discard(measures)
     facts = F.arrow_udf(_row_facts, "struct<k1: bigint, k2: bigint, words: bigint, repeat: bigint>").asNondeterministic()  # evaluated once
     rows = boxed(docs, host=_host(), facts=facts(F.coalesce("text", F.lit(""))))

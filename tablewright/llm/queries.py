@@ -105,7 +105,7 @@ WITH d AS (
   SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host
 ), frequent AS (
   SELECT l.host, line FROM l JOIN hosts USING (host) GROUP BY l.host, line, docs
-  HAVING count(DISTINCT text) > {quality_rules.MIN_DOCS} AND count(DISTINCT text) > docs * {quality_rules.MAX_SHARE}::DOUBLE
+  HAVING count(DISTINCT text) > {quality_rules.MIN_DOCS} AND count(DISTINCT text) > least(docs * {quality_rules.MAX_SHARE}::DOUBLE, {quality_rules.MAX_DOCS})
 ), lost AS (
   SELECT r, count(DISTINCT line)::BIGINT AS frequent_lines, sum(words)::BIGINT AS frequent_words
   FROM l JOIN frequent USING (host, line) GROUP BY r

@@ -79,7 +79,7 @@ def key(rows):
 # op1
 
 
-def quality_brute(rows, min_docs, share):
+def quality_brute(rows, min_docs=quality_rules.MIN_DOCS, share=quality_rules.MAX_SHARE, max_docs=quality_rules.MAX_DOCS):
     hosts, holders = defaultdict(set), defaultdict(set)
     norm = lambda x: " ".join(WORDS.findall(x.translate(LOWER)))
     for _, text, host in rows:
@@ -96,7 +96,7 @@ def quality_brute(rows, min_docs, share):
         seen = Counter(windows)
         repeat = len({j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + 3)})
         lines = [x for x in text.split("\n") if norm(x)]
-        gone = [norm(x) for x in lines if len(holders[host, norm(x)]) > min_docs and len(holders[host, norm(x)]) > share * len(hosts[host])]
+        gone = [norm(x) for x in lines if len(holders[host, norm(x)]) > max(min_docs, min(share * len(hosts[host]), max_docs))]
         lost = sum(x.count(" ") + 1 for x in gone)
         failed = len(words) < 50 or 100 * repeat > 50 * len(words)
         left = len(words) - lost
@@ -105,17 +105,17 @@ def quality_brute(rows, min_docs, share):
     return out
 
 
-@pytest.mark.parametrize("limits", [(3, 0.05), (20, 0.08)])
+@pytest.mark.parametrize("limits", [(3, 0.05, 4), (20, 0.08, 10**9), (3, 0.03, 200)])
 def test_quality_rules(odd, empty, docs, limits):
     for df in (odd, empty, docs):
         rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
-        got = quality_rules.quality_rules(df, min_docs=limits[0], max_share=limits[1]).collect()
+        got = quality_rules.quality_rules(df, min_docs=limits[0], max_share=limits[1], max_docs=limits[2]).collect()
         assert key(map(tuple, got)) == key(quality_brute(rows, *limits))
 
 
 def test_quality_filter_acts_as_the_rules_say(odd, empty):
     rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
-    kept = Counter(repr(v[0]) for v in quality_brute(rows, 20, 0.08) if v[7])
+    kept = Counter(repr(v[0]) for v in quality_brute(rows) if v[7])
     out = quality_rules.filter_documents(odd)
     assert out.columns == odd.columns
     got = out.collect()
@@ -145,6 +145,8 @@ def test_quality_stage_removes_footers_at_any_rate_and_host_size(spark):
     got = quality_rules.filter_documents(df).collect()
     assert len(got) == len(rows) and not {r.source for r in got if "Footer" in r.text}
     assert all(r.text.count("\n") == 59 for r in got)
+    report = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert all(report[r[0]].kept and report[r[0]].frequent_lines == r[1].startswith("Footer") for r in rows)
 
 
 # op2
@@ -740,7 +742,7 @@ def test_pipeline_stages_against_brute_force(spark, small):
         docs = materialize(stage(spark, docs, small), f"test-{name}")
         if name != "best_fit_packing":
             assert docs.columns == columns
-    kept = {v[0] for v in quality_brute(held["quality_rules"], 20, 0.08) if v[7]}
+    kept = {v[0] for v in quality_brute(held["quality_rules"]) if v[7]}
     assert {d for d, *_ in held["quality_classifier"]} == kept
     rows = [r[:2] for r in held["line_dedup"]]
     assert {d for d, _ in rows} <= kept
