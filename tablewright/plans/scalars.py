@@ -174,13 +174,14 @@ _MODELS = [("small", 0.075, 0.30), ("medium", 0.15, 0.60), ("large", 2.0, 15.0)]
 
 
 @query("documents", sql="""
-SELECT doc_id, model, t AS tokens, round(t / 1e6 * i, 8) AS input_cost, round((t // 2) / 1e6 * o, 8) AS output_cost FROM
-(SELECT doc_id, length(coalesce(text, '')) // 4 AS t FROM documents), (VALUES ('small', 0.075::DOUBLE, 0.3::DOUBLE), ('medium', 0.15, 0.6), ('large', 2, 15)) p(model, i, o)""")
+SELECT *, input_cost + output_cost AS total_cost FROM (SELECT doc_id, model, t AS tokens, t / 1e6 * i AS input_cost, (t // 2) / 1e6 * o AS output_cost FROM
+(SELECT doc_id, length(coalesce(text, '')) // 4 AS t FROM documents), (VALUES ('small', 0.075::DOUBLE, 0.3::DOUBLE), ('medium', 0.15, 0.6), ('large', 2, 15)) p(model, i, o))""")
 def token_cost(documents: DataFrame) -> DataFrame:
-    """Cost of each document by price set; prices are three fixed rows."""
+    """Cost of each document by price set, input, output and total, not rounded; prices are three fixed rows."""
     prices = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(i).alias("i"), F.lit(o).alias("o")) for m, i, o in _MODELS)))
     rows = documents.select("doc_id", N.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"), prices.alias("p"))
-    return rows.select("doc_id", "p.model", "tokens", F.round(N.token_cost(C("tokens"), C("p.i")), 8).alias("input_cost"), F.round(N.token_cost(F.floor(C("tokens") / 2), C("p.o")), 8).alias("output_cost"))
+    costs = rows.select("doc_id", "p.model", "tokens", N.token_cost(C("tokens"), C("p.i")).alias("input_cost"), N.token_cost(F.floor(C("tokens") / 2), C("p.o")).alias("output_cost"))
+    return costs.withColumn("total_cost", C("input_cost") + C("output_cost"))
 
 
 @query("conversations", sql="""
