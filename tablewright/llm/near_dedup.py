@@ -17,8 +17,10 @@ Links. Texts that meet are held against `SIMILARITY` by the hashes of all their
 At a key with many, each is held against one of them, that which meets the most others; links are contracted. Where more
 than one group is left at such a key, no pair within a group is compared, and the others are found by what they hold
 beyond a centre text c of the key's largest group: if x is not similar to c and y is similar to x, then x and y share a
-shingle outside c, or what y has of c is enough for both, which bounds y's size (`_beyond`). So x meets only texts that
-share one of its rarest shingles, or are of such a size; that is exact and keeps dense groups from becoming all their pairs.
+shingle outside c, or what y has of c is enough for both, which bounds y's size (`_beyond`). Shingles outside c are ordered by how many
+texts at c hold them, rarest first, so that passages which many texts share come last. x meets only texts with which
+it shares one of its first shingles, at places that leave both enough others to share (`_sharing`), or that are of such a
+size; that is exact and keeps dense groups from becoming all their pairs.
 
 Cases. Texts whose words are equal but for A-Z are one node, known by 64 bits. Fewer than five words: one shingle. Texts without
 words, null ones too, are one node. A row is known by doc_id and text; of rows that repeat both, one stays. Null doc_ids
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import boxed, each_text, materialize, text_key, unboxed, worker_cache
@@ -167,19 +169,18 @@ _BEYOND = "struct<both: bigint, beyond: array<bigint>>"
 
 
 def _beyond(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How much of set `a` lies in `b`, and the first of what does not.
+    """How much of set `a` lies in `b`, and what does not.
 
     Let x and y be similar, so that each holds at least 4/5 of the other's size in common. If they share a shingle outside c,
-    it is among the first fifth of the size, and one more, of what x has beyond c in the order of hashes, and of
-    what y has, too: a set in common of at least 4/5 of x, less what lies in c, leaves no more out. If they share
-    none, all that they share lies in c.
+    the first that they share, in any order of all shingles, is among the first fifth of the size, and one more, of what x
+    has beyond c, and of what y has, too: a set in common of at least 4/5 of x, less what lies in c, leaves no more
+    out. If they share none, all that they share lies in c.
     """
     rows = []
     for x, c in zip(a, b):
         x = _set(x)
-        more = np.setdiff1d(x, _set(c), assume_unique=True)  # sorted
-        first = more[: len(x) * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1] + 1]
-        rows.append({"both": len(x) - len(more), "beyond": first.view(np.int64).tolist()})
+        more = np.setdiff1d(x, _set(c), assume_unique=True)
+        rows.append({"both": len(x) - len(more), "beyond": more.view(np.int64).tolist()})
     return pa.array(rows, pa.struct([("both", pa.int64()), ("beyond", pa.list_(pa.int64()))]))
 
 
@@ -275,7 +276,17 @@ def _more_pairs(members: DataFrame, weights: DataFrame, groups: DataFrame, sets:
     held = materialize(held.withColumn("odd", (F.col("group") != F.col("top")) & ~linked), "near-beyond")
     discard(placed, apart, open_, half)
     links = held.where((F.col("group") != F.col("top")) & ~F.col("odd")).select("a", "b")
+    return links, _sharing(held)
 
+
+def _sharing(held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of an odd text and a text of another group that can be similar, by what they share beyond a centre.
+
+    `held` (a, size, group, top, size_b, both, beyond, odd): texts at the centre of the group `top`, which has `size_b` shingles;
+    `both` of a text's shingles lie in it, `beyond` do not. Where a pair's first common shingle has places i and j among
+    `rest` and `rest_y`, it shares no more than 1 + min(rest - i, rest_y - j) beyond the centre: pairs whose sizes
+    ask for more do not leave the join.
+    """
     # a size s that shares with x nothing beyond the centre: 4/9 (size + s) <= both
     all_, odd = SIMILARITY[0] + SIMILARITY[1], F.col("odd")
     least = F.greatest(F.lit(1), F.ceil(F.col("size") * SIMILARITY[0] / SIMILARITY[1]))
@@ -285,16 +296,25 @@ def _more_pairs(members: DataFrame, weights: DataFrame, groups: DataFrame, sets:
     fits = (F.col("both") * SIMILARITY[1] >= F.col("size") * SIMILARITY[0]) & (F.col("size") < F.col("size_b"))
     own = F.when(fits, F.array(_class(F.col("size")))).otherwise(none)
     token = lambda kind, x: F.xxhash64(F.lit(kind), "top", x)
-    shared = F.transform("beyond", lambda x: token("shingle", x))
-    sized = lambda found: F.transform(found, lambda x: token("size", x))
-    rows = held.select("a", "size", "group", "both", "odd", (F.col("size") - F.col("both")).alias("rest"), F.concat(shared, sized(asked)).alias("asks"), F.concat(shared, sized(own)).alias("has"))
-    x = rows.where(odd).select("a", "size", "group", "both", "rest", F.explode("asks").alias("token"))
-    y = rows.select(F.col("a").alias("b"), *(F.col(c).alias(f"{c}_y") for c in ("size", "group", "both", "rest", "odd")), F.explode("has").alias("token"))
-    x, y = materialize(x, "near-asked"), materialize(y, "near-has")
-    enough = (F.least("both", "both_y") + F.least("rest", "rest_y")) * all_ >= (F.col("size") + F.col("size_y")) * SIMILARITY[0]
+    named = ["a", "size", "group", "both", "rest", "odd"]
+    held = held.withColumn("rest", F.col("size") - F.col("both"))
+    each = held.select(*named, "top", F.explode("beyond").alias("shingle")).withColumn("token", token("shingle", F.col("shingle"))).drop("shingle")
+    each = materialize(each, "near-each")
+    often = materialize(each.groupBy("token").agg(F.count("*").alias("n")), "near-often")
+    place = F.row_number().over(Window.partitionBy("a", "top").orderBy("n", "token"))
+    first = each.join(often.hint("merge"), "token").withColumn("place", place)
+    first = first.where((F.col("n") > 1) & (F.col("place") <= F.floor(F.col("size") * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1]) + 1))
+    first = materialize(first.select(*named, "token", "place"), "near-first")
+    sized = lambda found: held.select(*named, F.explode(found).alias("class"), "top").select(*named, token("size", F.col("class")).alias("token"), (F.col("rest") + 1).alias("place"))
+    x = materialize(first.unionByName(sized(asked)).where(odd), "near-asked")
+    y = materialize(first.unionByName(sized(own)), "near-has")
+    y = y.select(F.col("a").alias("b"), *(F.col(c).alias(f"{c}_y") for c in ("size", "group", "both", "rest", "place")), "token")
+    most = F.least("both", "both_y") + 1 + F.least(F.col("rest") - F.col("place"), F.col("rest_y") - F.col("place_y"))
+    enough = most * all_ >= (F.col("size") + F.col("size_y")) * SIMILARITY[0]
     pairs = x.join(y.hint("merge"), "token").where((F.col("group") != F.col("group_y")) & _close("size", "size_y") & enough)
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return links, pairs
+    discard(each, often, first)
+    return pairs
 
 
 def group_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:

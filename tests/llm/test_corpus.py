@@ -895,3 +895,28 @@ def test_what_lies_beyond_a_centre_finds_every_similar_pair():
         assert set(fx["beyond"]) & set(fy["beyond"]) or fits
         checked += 1
     assert checked > 300
+
+
+def test_texts_that_share_passages_do_not_become_all_pairs(spark):
+    """Texts at one key that share passages: every similar pair of different groups is met, and few of the others."""
+    rng = np.random.default_rng(21)
+    passages = [rng.integers(0, 1 << 62, 20) for _ in range(9)]
+    sets = [rng.integers(0, 1 << 62, 180)]  # the largest group's centre, its copies and one that is not quite one
+    sets += [np.concatenate([sets[0][2 * i + 2 :], rng.integers(0, 1 << 62, 2 * i + 2)]) for i in range(12)]
+    for _ in range(150):
+        chosen = [passages[i] for i in rng.choice(9, 7, replace=False)]
+        sets.append(np.concatenate([*chosen, rng.integers(0, 1 << 62, 40)]))
+    for x in sets[20:40]:  # near copies, some in part
+        sets += [np.concatenate([x[8:], rng.integers(0, 1 << 62, 5)]), x[: int(len(x) * rng.uniform(0.7, 0.99))]]
+    sets = [np.unique(x.astype(np.uint64)) for x in sets]
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    group = [0 if near_dedup.similar(both(0, i), len(sets[0]), len(s)) else i for i, s in enumerate(sets)]
+    rows = [(i, len(s), g, bytearray(s.tobytes())) for i, (s, g) in enumerate(zip(sets, group))]
+    held = near_dedup.materialize(spark.createDataFrame(rows, "node LONG, size LONG, group LONG, found BINARY"), "test-held")
+    members = held.select(F.lit(1).cast("long").alias("key"), "node", "size", F.lit(len(rows)).cast("long").alias("n"))
+    weights = held.select("node", (F.lit(1000) - F.col("node")).alias("weight"))
+    links, pairs = near_dedup._more_pairs(members, weights, held.select("node", "group"), held.select("node", "found"))
+    met = {(r.a, r.b) for r in pairs.collect()} | {(max(r.a, r.b), min(r.a, r.b)) for r in links.collect()}
+    wanted = {(i, j) for i in range(len(sets)) for j in range(i) if group[i] != group[j] and near_dedup.similar(both(i, j), len(sets[i]), len(sets[j]))}
+    assert len(wanted) >= 20 and wanted <= met
+    assert len(met) < 1000  # of 20,503 pairs
