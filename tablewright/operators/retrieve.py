@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from tablewright.sources.scratch import store
 K1, B = 1.2, 0.75
 #: Vectors of a block on either side; a pair of blocks is scored at once.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: Texts of a block, and about how many bytes.
+TEXT_BLOCK, TEXT_BLOCK_BYTES = 2048, 1 << 19
 
 
 def normal_query(text: Column) -> Column:
@@ -86,27 +90,125 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), "")
 
 
+def _merged(docs: DataFrame) -> DataFrame:
+    """(id, text, copies): rows that share an id as one text, their words side by side; rows without an id stay apart.
+
+    Only ids are shuffled, and the texts of repeated ones.
+    """
+    docs = docs.select("id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    single = docs.withColumn("copies", F.lit(1).cast("long"))
+    again = store(docs.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    if again.isEmpty():
+        return single
+    joined = docs.join(again, "id").groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"), F.count("*").alias("copies"))
+    return single.join(again, "id", "left_anti").unionByName(joined)
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, rank). `queries` (query_id, text), `docs` (id, text).
+    """(query_id, id, score, rank). `queries` (query_id, text), `docs` (id, text); rows that share an id are one document.
 
-    One scan of the texts: postings of query terms, each with its document's length beside it, and an empty term that every
-    document has once, from which the number of documents and their length come. Only these are shuffled, and
-    once: counts by term and the scores read the same exchange, as no filter parts their plans.
+    Two scans of the texts. The first counts the documents of each query term in its tasks. The second scores blocks of
+    texts against stored blocks of queries, and a task sends k rows for each query to the shuffle at most: neither postings nor
+    scores of other documents leave it. Documents without an id count, but are no hits.
     """
-    asked = terms(queries, "query_id", "text").distinct()
-    words = docs.select("id", _words(F.col("text")).alias("words"))
-    spread = words.select("id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
-    wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term STRING"))
-    found = spread.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    counts = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
-    every = lambda c: F.max(F.when(F.col("term") == "", F.col(c)))
-    corpus = counts.agg(every("df").alias("n"), every("total").alias("total"))  # one row
-    asked = counts.select("term", "df").join(asked, "term")
-    rows = found.join(asked, "term").crossJoin(F.broadcast(corpus))  # one row
+    asked = store(terms(queries, "query_id", "text").distinct(), "asked")
+    wanted = store(asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term STRING")), "asked-terms")
+    docs = _merged(docs)
+    words = docs.select("id", "copies", _words(F.col("text")).alias("words"))
+    spread = words.select("id", "copies", F.size("words").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("term"))
+    df = F.count("id") + F.max(F.col("id").isNull().cast("long"))
+    counts = spread.join(wanted, "term").groupBy("term").agg(df.alias("df"), F.sum("copies").alias("n"), F.sum("dl").alias("total"))
+    counts = store(counts, "term-counts")
+    corpus = counts.where("term = ''").select("n", F.try_divide("total", "n").alias("mean"))  # one row; of all documents
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("total") / F.col("n")))
-    scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
-    return _top(scores, k, [F.desc("score"), F.asc("id")])
+    asked = asked.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", idf.alias("idf"), "mean")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(asked.select("query_id").distinct().count() // QUERY_BLOCK + 1)).alias("block")
+    asked = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "term", "idf")).alias("asked"), F.first("mean").alias("mean"))
+    asked = store(asked, "asked-blocks")
+    kind, name = docs.schema["id"].dataType, queries.schema["query_id"].dataType
+    texts = docs.where("id IS NOT NULL").select("id", "text").mapInArrow(_text_blocks, f"ids ARRAY<{kind.simpleString()}>, texts ARRAY<STRING>")
+    found = texts.crossJoin(asked).mapInArrow(_term_scorer(k, k1, b), f"query_id {name.simpleString()}, id {kind.simpleString()}, score DOUBLE")
+    return _top(found, k, [F.desc("score"), F.asc("id")])
+
+
+def _text_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) as blocks of some thousand, or of some hundred thousand bytes."""
+    for batch in parts:
+        ids, texts = (batch.column(c) for c in ("id", "text"))
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            full = np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BLOCK_BYTES)
+            to = int(min(max(full, at + 1), at + TEXT_BLOCK, batch.num_rows))
+            lists = [pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), x.slice(at, to - at)) for x in (ids, texts)]
+            yield pa.RecordBatch.from_arrays(lists, ["ids", "texts"])
+            at = to
+
+
+class _Asked:
+    """A block of queries: the terms' queries and weights as flat arrays, and the k best hits so far."""
+
+    def __init__(self, rows: pa.Scalar, mean: float) -> None:
+        query, term, self.idf = (rows.values.field(c) for c in ("query_id", "term", "idf"))
+        query, term = query.dictionary_encode(null_encoding="encode"), term.dictionary_encode()
+        self.names, self.mean = query.dictionary, mean
+        order = np.argsort(term.indices.to_numpy(), kind="stable")
+        self.query, self.idf = query.indices.to_numpy()[order].astype(np.int64), self.idf.to_numpy()[order]
+        self.many = np.bincount(term.indices.to_numpy(), minlength=len(term.dictionary))
+        self.start = np.cumsum(self.many) - self.many
+        self.place = {w: i for i, w in enumerate(term.dictionary.cast(pa.binary()).to_pylist())}
+        self.least = np.full(len(self.names), 0.0)  # a score must reach it
+        self.hits: tuple[np.ndarray, ...] | None = None
+
+    def add(self, ids: np.ndarray, texts: list[bytes], k: int, k1: float, b: float) -> None:
+        length, known, get = np.zeros(len(texts), np.int64), [], self.place.get
+        for i, text in enumerate(texts):
+            found = re.findall(rb"[a-z]+", text)
+            length[i] = len(found)
+            known.append([x for x in map(get, found) if x is not None])
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in known])
+        term = np.fromiter((x for row in known for x in row), np.int64, len(doc))
+        posting, tf = np.unique(doc * len(self.many) + term, return_counts=True)
+        doc, term = posting // len(self.many), posting % len(self.many)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / self.mean))
+        many = self.many[term]
+        at = np.repeat(self.start[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cell = np.repeat(doc * len(self.names), many) + self.query[at]
+        raw = np.bincount(cell, np.repeat(part, many) * self.idf[at], len(texts) * len(self.names)).reshape(len(texts), -1)
+        score = np.where(raw > 0, np.round(raw, 6), -1.0)
+        if self.hits is None and len(texts) > k:
+            self.least = np.maximum(self.least, np.partition(score, -k, axis=0)[-k])
+        row, query = np.nonzero(score >= self.least)
+        if not len(row):
+            return
+        new = query, score[row, query], ids[row]
+        query, score, ids = new if self.hits is None else (np.concatenate(x) for x in zip(self.hits, new))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[rank < k]
+        self.hits = query[rank < k], score[kept], ids[kept]
+        last = rank == k - 1
+        self.least[query[last]] = score[order[last]]
+
+
+def _term_scorer(k: int, k1: float, b: float):
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, _Asked] = {}
+        kind = None
+        for batch in rows:
+            for row in range(batch.num_rows):
+                ids, texts, block, asked, mean = (batch.column(c)[row] for c in ("ids", "texts", "block", "asked", "mean"))
+                if block.as_py() not in blocks:
+                    blocks[block.as_py()] = _Asked(asked, mean.as_py())
+                kind = ids.values.type
+                blocks[block.as_py()].add(np.array(ids.as_py()), texts.values.cast(pa.binary()).to_pylist(), k, k1, b)
+        for x in blocks.values():
+            if x.hits is not None:
+                query, score, ids = x.hits
+                yield pa.RecordBatch.from_arrays([x.names.take(pa.array(query)), pa.array(ids.tolist(), kind), pa.array(score)], ["query_id", "id", "score"])
+
+    return batches
 
 
 def fused(dense: DataFrame, sparse: DataFrame, weight: float = 0.5, k: int = 5) -> DataFrame:
@@ -123,8 +225,8 @@ def fused(dense: DataFrame, sparse: DataFrame, weight: float = 0.5, k: int = 5)
 
 
 def context(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, context): hits in rank order, whole, each with its citation."""
-    rows = hits.join(docs, "id").select("query_id", "rank", F.concat(F.lit("["), "id", F.lit("] "), "text").alias("c"))
+    """(query_id, context): hits in rank order, whole, each with its citation. Stored hits have a known size, so texts are shuffled only for very many."""
+    rows = store(hits, "hits").join(docs, "id").select("query_id", "rank", F.concat(F.lit("["), "id", F.lit("] "), "text").alias("c"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"])
     return rows.groupBy("query_id").agg(F.array_join(ordered, "\n").alias("context"))
 

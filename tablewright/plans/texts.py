@@ -178,7 +178,7 @@ def context_assembly(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 SELECT query_id, string_agg('[' || id || '] ' || text, chr(10) ORDER BY rank) AS context FROM sparse JOIN chunks ON id = doc_id GROUP BY query_id""")
 def chunk_context(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The top chunks of each query, whole."""
-    chunks = X.sentence_chunks(documents, "doc_id", "text").select(F.concat_ws("-", "doc_id", "chunk_index").alias("id"), C("chunk").alias("text"))
+    chunks = X.sentence_chunks(documents, "doc_id", "text").select(F.concat("doc_id", F.lit("-"), "chunk_index").alias("id"), C("chunk").alias("text"))
     return V.context(V.bm25_topk(benchmark.select(C("item_id").alias("query_id"), "text"), chunks), chunks)
 
 

@@ -95,3 +95,26 @@ def test_every_document_has_chunk_records(spark, small):
     got = QUERIES["all_chunk_records"](spark, small)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert "chunk" in got.columns
+
+
+def test_bm25_counts_repeated_and_missing_ids_as_its_sql_does_and_sends_k_rows_a_task(spark, tmp_path, monkeypatch):
+    from tablewright.operators import retrieve
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    text = lambda i: ". ".join(" ".join(words[(i * j + j * j + n) % 10] for n in range(1 + (i + j) % 7)) for j in range(1 + i % 5))
+    rows = [(i, text(i)) for i in range(400)] + [(None, text(i)) for i in (3, 8, 11)] + [(900, None), (901, "")]
+    asked = [(i, " ".join(words[i % 3 : 3 + i % 4])) for i in range(12)]
+    again = [(i, text(7 * i + 1)) for i in (5, 6, 6, 7)]
+    seen = []
+    top = retrieve._top
+    monkeypatch.setattr(retrieve, "_top", lambda found, k, by: seen.append(found.count()) or top(found, k, by))
+    for folder, more, names in ((tmp_path / "a", [], ("bm25_topk", "chunk_context")), (tmp_path / "b", again, ("bm25_topk",))):
+        spark.createDataFrame(rows + more, "doc_id LONG, text STRING").repartition(3).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(asked, "item_id LONG, text STRING").write.parquet(f"{folder}/benchmark.parquet")
+        with duckdb.connect() as db:
+            for table in ("documents", "benchmark"):
+                db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+            for name in names:
+                got = [tuple(r) for r in QUERIES[name](spark, str(folder)).collect()]
+                assert sorted(got) == sorted(db.sql(ORACLE_SQL[name]).fetchall()), name
+    assert max(seen) <= 5 * 12 * 8  # not each of 400 documents for each query
