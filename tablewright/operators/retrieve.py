@@ -18,6 +18,8 @@ K1, B = 1.2, 0.75
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 #: Texts of a block, and about how many bytes.
 TEXT_BLOCK, TEXT_BLOCK_BYTES = 2048, 1 << 19
+#: Bytes of texts that are scored together, which bounds a worker's arrays.
+SCORED_BYTES = 1 << 16
 
 
 def normal_query(text: Column) -> Column:
@@ -202,7 +204,11 @@ def _term_scorer(k: int, k1: float, b: float):
                 if block.as_py() not in blocks:
                     blocks[block.as_py()] = _Asked(asked, mean.as_py())
                 kind = ids.values.type
-                blocks[block.as_py()].add(np.array(ids.as_py()), texts.values.cast(pa.binary()).to_pylist(), k, k1, b)
+                names, found = np.array(ids.as_py()), texts.values.cast(pa.binary()).to_pylist()
+                part = np.cumsum([len(x) for x in found]) // SCORED_BYTES
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(found)]
+                for at, to in zip(cuts, cuts[1:]):
+                    blocks[block.as_py()].add(names[at:to], found[at:to], k, k1, b)
         for x in blocks.values():
             if x.hits is not None:
                 query, score, ids = x.hits
